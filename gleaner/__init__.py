@@ -1 +1,11 @@
-"""Document ingestion and retrieval analytics on PySpark."""
+"""Document ingestion and retrieval analytics on PySpark.
+
+Functions that run on executors are pickled by value, so a cluster needs no installed copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
