@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, url_filter
+from . import exact_dedup, mixing, ngram_join, pii, url_filter
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_pii, op7_mixing, op8_exact_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op4_pii, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql():
-    return {"op4_pii": pii.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op4_pii": pii.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op10_ngram_join": ngram_join.SQL}
