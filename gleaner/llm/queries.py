@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, pii, url_filter
+from . import exact_dedup, mixing, ngram_join, packing, pii, url_filter, vector_dedup
 from .common import table
 
 
+def tokenizer_files():
+    """Files and split pattern of the tokenizer that packing is measured in."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_vector_dedup(spark, sf_dir):
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_files())
+
+
 def op4_pii(spark, sf_dir):
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -27,8 +42,8 @@ def op10_ngram_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pii, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op2_vector_dedup, op3_packing, op4_pii, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql():
-    return {"op4_pii": pii.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op2_vector_dedup": vector_dedup.SQL, "op4_pii": pii.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op10_ngram_join": ngram_join.SQL}
