@@ -68,12 +68,13 @@ def schedule(targets: DataFrame, block: int = BLOCK, ceiling: int = CEILING) ->
         "key", "low", "high", F.ceil(F.col("source_size") / block).alias("blocks"),
         F.explode(F.sequence(F.floor(F.col("low") / (POINTS // CELLS)), F.floor((F.col("high") - 1) / (POINTS // CELLS)))).alias("cell"),
     )
-    drawn = slots.join(cells, "cell").where("point >= low AND point < high").select("slot", "chunk", "key", "blocks")
+    # Sizes of exploded sequences are underestimated: without the hints these sides would be broadcast.
+    drawn = slots.join(cells.hint("merge"), "cell").where("point >= low AND point < high").select("slot", "chunk", "key", "blocks")
     per_chunk = drawn.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("c"))
     before = per_chunk.select(
         "key", "chunk", (F.sum("c").over(Window.partitionBy("key").orderBy("chunk")) - F.col("c")).alias("before")
     )
-    ranked = drawn.join(before, ["key", "chunk"]).withColumn(
+    ranked = drawn.join(before.hint("merge"), ["key", "chunk"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1
     )
     return ranked.where(F.col("rank") < F.col("blocks") * ceiling).select(
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = stage(source_targets(ranges.groupBy("key", "source").agg(F.sum("words").alias("source_size"))), "targets")
     starts = ranges.select("key", "range", (F.sum("words").over(Window.partitionBy("key").orderBy("range")) - F.col("words")).alias("start"))
     inside = Window.partitionBy("key", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(starts, ["key", "range"]).select(
+    placed = rows.join(starts.hint("merge"), ["key", "range"]).select(
         "doc_id", "key", "size", (F.col("start") + F.sum("size").over(inside) - F.col("size")).alias("at")
     )
     takes = schedule(targets, block).groupBy("key", "block").agg(F.count(F.lit(1)).alias("passes"))
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
     taken = (
-        pieces.join(takes, ["key", "block"], "left")
+        pieces.join(takes.hint("merge"), ["key", "block"], "left")
         .groupBy("doc_id", "key", "at", "size").agg(F.sum(overlap * F.coalesce("passes", F.lit(0))).alias("taken"))
     )
     taken = taken.unionByName(placed.where("size = 0").select("doc_id", "key", "at", "size", F.lit(0).cast("long").alias("taken")))
