@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, pii, url_filter, vector_dedup
+from . import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, url_filter, vector_dedup
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op4_pii(spark, sf_dir):
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op5_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_ngram_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_vector_dedup, op3_packing, op4_pii, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql():
