@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, url_filter, vector_dedup
+from . import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, suffix_dedup, url_filter, vector_dedup
 from .common import table
 
 
@@ -13,6 +13,10 @@ def tokenizer_files():
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_vector_dedup(spark, sf_dir):
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +54,7 @@ def op10_ngram_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql():
