@@ -4,7 +4,9 @@ Sampled splitters range-partition the normalised texts (``repartitionByRange`` s
 each partition is sorted externally so that equal texts are neighbours, and runs of fully equal
 neighbours are reduced to the row that stays. The splitters order by (text, salt of the id), so
 a group of copies that holds a third of all rows is spread over many range partitions instead of
-one; its per-salt winners, a few slim rows a text, meet in a second step by digest.
+one; its per-salt winners, a few slim rows a text, meet in a second step by digest. Splitters are
+prefixes of the texts, so what is sampled to the driver stays small however long texts are; the
+sort and the comparison of neighbours are over the whole texts.
 
 Defined results: null text counts as empty; rows with equal id and text are one group in which
 one row stays; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, partitions, stage
 
+#: Code points of a text that splitters look at.
+SPLITTER = 64
 #: Parts that one text's copies are dealt to at least.
 SALTS = 256
 
@@ -36,8 +40,8 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(text).alias("n_chars"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(SALTS, n))).cast("int").alias("salt"),
     )
-    sorted_rows = rows.repartitionByRange(n, "norm", "salt")
-    run = Window.partitionBy("norm", "salt")
+    sorted_rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER)).repartitionByRange(n, "head", "salt")
+    run = Window.partitionBy("head", "norm", "salt")
     slim = stage(
         sorted_rows.select(
             "doc_id", "salt", "n_chars",
