@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stage
 
 #: (rule, verdict): host, then path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -41,35 +41,42 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _concentration(children: DataFrame, name: str) -> DataFrame:
-    """One row: the beta-binomial concentration of labelled children, by moments, in [1, 1000]."""
-    sums = children.where("n > 0").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), F.sum("x").alias("x"),
-        F.sum(F.col("x") * F.col("x") / F.col("n")).alias("q"), F.sum(F.col("n") * F.col("n")).alias("s2"),
+def _moments(children: DataFrame, level: str) -> DataFrame:
+    """One row: what the beta-binomial concentration of a level's labelled children follows from."""
+    return children.where("n > 0").agg(
+        F.lit(level).alias("level"), F.count(F.lit(1)).cast("double").alias("k"), F.sum("n").cast("double").alias("n"), F.sum("x").cast("double").alias("x"),
+        F.sum(F.col("x") * F.col("x") / F.col("n")).alias("q"), F.sum(F.col("n") * F.col("n")).cast("double").alias("n2"),
     )
-    return sums.selectExpr("k", "s", "s2", "x / nullif(s, 0) AS p", "q").selectExpr(
-        "k", "(q - s * p * p) / nullif(p * (1 - p), 0) AS spread", "s - s2 / nullif(s, 0) AS eff"
-    ).selectExpr(f"greatest(1D, least(1000D, coalesce((eff - (k - 1)) / nullif(greatest(spread - (k - 1), 0D), 0D) - 1, 1000D))) AS {name}", "'all' AS every")
+
+
+def _concentration(m) -> float:
+    """By moments, between 1 and 1000; 1000 where children differ no more than chance makes them."""
+    p = m["x"] / m["n"] if m["n"] else 0.0
+    if not 0 < p < 1:
+        return 1000.0
+    spread, effective = (m["q"] - m["n"] * p * p) / (p * (1 - p)), m["n"] - m["n2"] / m["n"]
+    excess = spread - (m["k"] - 1)
+    return max(1.0, min(1000.0, (effective - (m["k"] - 1)) / excess - 1)) if excess > 0 else 1000.0
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``(host, n, x)`` counts to ``(host, rate, bound)``: posterior block rate and lower bound."""
-    hosts = outcomes.withColumns({
-        "suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "every": F.lit("all"),
-    })
+    """``(host, n, x)`` counts to ``(host, rate, bound)``: posterior block rate and lower bound.
+
+    Three rows of sums are collected, one a level; hosts, domains and suffixes stay tables.
+    """
+    hosts = stage(
+        outcomes.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}), "hosts"
+    )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    # Tables of one row each: safe to broadcast at any size.
-    total = suffixes.agg(((F.sum("x") + 0.5) / (F.sum("n") + 1)).alias("p"), F.lit("all").alias("every"))
-    for level, name in ((suffixes, "m_suffix"), (domains, "m_domain"), (hosts, "m_host")):
-        total = total.join(F.broadcast(_concentration(level, name)), "every")
-    suffix = (
-        suffixes.withColumn("every", F.lit("all")).join(F.broadcast(total), "every")
-        .selectExpr("suffix", "(x + m_suffix * p) / (n + m_suffix) AS p_suffix", "m_domain", "m_host")
-    )
-    domain = domains.join(suffix, "suffix").selectExpr("domain", "(x + m_domain * p_suffix) / (n + m_domain) AS p_domain", "m_host")
-    host = hosts.join(domain, "domain").selectExpr("host", "(x + m_host * p_domain) / (n + m_host) AS rate", "n + m_host AS seen")
-    return host.selectExpr("host", "rate", f"rate - {QUANTILE}D * sqrt(rate * (1 - rate) / (seen + 1)) AS bound")
+    levels = {"suffix": suffixes, "domain": domains, "host": hosts}
+    moments = {r["level"]: r for r in _moments(suffixes, "suffix").unionAll(_moments(domains, "domain")).unionAll(_moments(hosts, "host")).collect()}
+    m = {level: F.lit(_concentration(moments[level])) for level in levels}
+    p = ((moments["host"]["x"] or 0.0) + 0.5) / ((moments["host"]["n"] or 0.0) + 1)
+    suffix = suffixes.select("suffix", ((F.col("x") + m["suffix"] * p) / (F.col("n") + m["suffix"])).alias("prior"))
+    domain = domains.join(suffix, "suffix").select("domain", ((F.col("x") + m["domain"] * F.col("prior")) / (F.col("n") + m["domain"])).alias("prior"))
+    host = hosts.join(domain, "domain").select("host", ((F.col("x") + m["host"] * F.col("prior")) / (F.col("n") + m["host"])).alias("rate"), (F.col("n") + m["host"]).alias("seen"))
+    return host.select("host", "rate", (F.col("rate") - QUANTILE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("seen") + 1))).alias("bound"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", bound: float = BOUND) -> DataFrame:
