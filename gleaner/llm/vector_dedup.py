@@ -4,8 +4,8 @@ Equal vectors of a label are one class before anything is compared. Unit vectors
 the cell of their nearest centroid (spherical k-means, fitted on a bounded sample). Cells are
 exact, not approximate: two unit vectors at cosine >= t are at most 2 sin(acos(t) / 2) apart, so
 the partner of a vector can only live in a cell whose bisecting plane with the vector's own cell
-is that close; the vector visits those cells as a guest. Every pair at or above t is compared in
-exactly the home cell of one of the two.
+is that close; the vector visits those cells of higher number as a guest. So every pair at or
+above t meets exactly once, in the home cell of one of the two.
 
 Cells are cut into blocks of ``BLOCK`` vectors and compared block against block, so no task holds
 more than two blocks whatever the size of a cell. A block pair returns link counts and a spanning
@@ -116,6 +116,7 @@ def _deal(classes: DataFrame, cells: dict[int, np.ndarray], threshold: float) ->
                 home = np.argmax(dots, axis=1)
                 gaps = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))
                 visits = dots[np.arange(len(x)), home][:, None] - dots <= apart * gaps[home] + 1e-9
+                visits &= np.arange(len(c)) >= home[:, None]
                 i, j = np.nonzero(visits)
                 rows[0].append(at[i]), rows[1].append(j), rows[2].append(j != home[i])
             take = pa.array(np.concatenate(rows[0]) if rows[0] else np.zeros(0, np.int64))
