@@ -48,6 +48,10 @@ REACH = LENGTH - CORE  # bytes before an anchor that a window can hold
 HOT = 50_000
 #: Bytes of suffixes in a run at most; splitter samples collected at most.
 RUN_BYTES, SAMPLES = 48 << 20, 20_000
+#: Entries of one core up to which pairs are looked at one by one.
+PAIRWISE = 64
+#: Bytes of texts whose anchors are found together: what stays in a core's cache.
+CHUNK = 1 << 18
 #: Ways to deal out a hot core. Each holds the windows of some offsets of the anchor, needs their
 #: common bytes to be dealt by, and cuts suffixes (left, right) to what these windows hold:
 #: 1: at most 3 bytes left; 2: 4 or more left and 54 right; 3: 147 or more left.
@@ -62,7 +66,10 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     grams = np.ndarray((n - 7,), "<u8", data.tobytes(), strides=(1,))
     key = np.full(-(-n // w) * w + w, 2**64 - 1, np.uint64)
-    key[: n - 7] = (mix64(grams.astype(np.uint64)) & ~np.uint64(_POSITION)) | np.arange(n - 7, dtype=np.uint64)
+    hashed = grams * np.uint64(0x9E3779B97F4A7C15)  # the high bits, which order, depend on all 8 bytes
+    hashed &= ~np.uint64(_POSITION)
+    hashed |= np.arange(n - 7, dtype=np.uint64)
+    key[: n - 7] = hashed
     table = key.reshape(-1, w)
     upto = np.minimum.accumulate(table, axis=1).ravel()
     onward = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -93,14 +100,14 @@ def _read_anchors(docs: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in row_chunks(offsets):
+            for i, j in row_chunks(offsets, CHUNK):
                 part = offsets[i : j + 1]
                 rows = part - part[0]
                 chunk = data[part[0] : part[-1]]
                 at = anchors_of(chunk, rows)
                 cuts = np.searchsorted(at, rows).astype(np.int32)
                 places = at - np.repeat(rows[:-1], np.diff(cuts))
-                some = [at[k : k + 1] for k in range(0, len(at), 4096)]
+                some = [at[k : k + 1] for k in range(int(part[0]) % 1024, len(at), 1024)]
                 samples = [chunk[int(a[0]) : int(a[0]) + CORE].tobytes() for a in some]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(places.astype(np.int32))),
@@ -203,15 +210,17 @@ def agreement(group: list[tuple]) -> list[tuple[int, int]]:
     """
     m = len(group)
     out = [(0, 0)] * m
-    if m <= 4:
-        for i in range(m):
-            right = 1 << 20
+    if m <= PAIRWISE:
+        for i in range(m - 1):
+            right, mine = 1 << 20, group[i][2]
             for j in range(i + 1, m):
                 right = min(right, group[j][0])
-                left = common(group[i][2], group[j][2])
-                if right - 1 + left >= LENGTH:
-                    for k in (i, j):
-                        out[k] = max(out[k][0], left), max(out[k][1], right - 1)
+                need, other = LENGTH + 1 - right, group[j][2]
+                if need > 0 and (mine[:need] != other[:need] or len(mine) < need or len(other) < need):
+                    continue
+                left = common(mine, other)
+                for k in (i, j):
+                    out[k] = max(out[k][0], left), max(out[k][1], right - 1)
         return out
     prefix = np.array([g[0] - 1 for g in group])
     rights, lefts = np.array([len(g[1]) - 1 for g in group]), np.array([len(g[2]) for g in group])
@@ -330,9 +339,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """``doc_id, mark, start, end`` (bytes): spans that repeat; texts: ``doc_id, text, mark``."""
     spark = texts.sparkSession
     parts = 2 * partitions(spark)
-    found = _read_anchors(texts.select("doc_id", "text"))
+    found = stage(_read_anchors(texts.select("doc_id", "text")), "anchors")
     every = found.select("doc_id", F.explode(F.arrays_zip("at", "core")).alias("a")).select("doc_id", "a.at", "a.core")
-    counts = every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", (F.col("n") > HOT).cast("int").alias("hot"))
+    # Staged, so that both sides of the join below are plain exchanges and a hot core is split.
+    counts = stage(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", (F.col("n") > HOT).cast("int").alias("hot")), "cores")
     repeated = every.join(counts, "core").groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("hot")).alias("places"))
     runs = stage(
         texts.join(repeated, "doc_id").select("doc_id", "text", "mark", "places")
@@ -345,8 +355,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 def _splitters(found: DataFrame, parts: int) -> list[bytes]:
     """At most parts - 1 cores that cut the anchors' suffixes into parts of like size."""
-    samples = found.where(F.size("samples") > 0).select(F.explode("samples").alias("s")).sample(0.25, seed=1).limit(SAMPLES).collect()
-    cores = sorted(bytes(r["s"]) for r in samples)
+    samples = found.where(F.size("samples") > 0).select(F.explode("samples").alias("s"))
+    share = min(1.0, SAMPLES / max(1, samples.count()))
+    few = samples.where(F.pmod(F.xxhash64("s"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(2 * SAMPLES).collect()
+    cores = sorted(bytes(r["s"]) for r in few)
     return sorted({cores[len(cores) * k // parts] for k in range(1, parts)}) if cores else []
 
 
