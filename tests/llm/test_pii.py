@@ -1,0 +1,74 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from gleaner.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def plain(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m.group().split(".")),
+                "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15,
+            }[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def spans(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, email string")
+    return [r["spans"] for r in pii.pii_digest(pii.find_pii(df)).orderBy("doc_id").collect()]
+
+
+def base_only(spans):
+    return ",".join(s for s in spans.split(",") if s.split(":")[0] in BASE)
+
+
+def test_patterns_equal_the_plain_ones(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1.2@%-_+ ()é\U0001f6009") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    texts += ["".join(rng.choice("0123456789 -+.()") for _ in range(60)) for _ in range(700)]
+    texts += [None, "", "x@y.z%u@v.w", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "a@b", "+1 (743) 555-3824", "256.1.1.1 000255.1.1.1"]
+    assert [base_only(s) for s in spans(spark, texts)] == [plain(t) for t in texts]
+
+
+def test_long_texts_do_not_crash(spark):
+    texts = ["1 " * 60000, "a@" + "b." * 60000, "9" * 100000, "." * 100000, "+1" + "2-" * 50000, "x@y.z " * 3000, "A1" * 50000]
+    assert [base_only(s) for s in spans(spark, texts)] == [plain(t) for t in texts]
+
+
+def test_added_kinds(spark):
+    good, bad = "IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok"
+    got = spans(spark, [good, bad, "ssn: 123-45-6789", "order 123-45-6789"])
+    assert "iban:5:32" in got[0] and "iban" not in got[1] and "ssn:5:16" in got[2] and "ssn" not in got[3]
+
+
+def test_context_raises_the_score(spark):
+    df = spark.createDataFrame([(0, "my card 4111111111111111"), (1, "zz 4111111111111111")], "doc_id long, text string")
+    scores = [r["card"][0]["score"] for r in pii.find_pii(df, base=(), more=(pii.Detector("card", pii.BASE[2].pattern, "[0-9]", "luhn", 0.3, ("card",)),), threshold=0.0).select("doc_id", "card").orderBy("doc_id").collect()]
+    assert scores[0] > scores[1]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.pii_digest(pii.find_pii(df)).collect() == []
+    assert df.select(F.lit(1)).count() == 0
