@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -34,6 +34,32 @@ def detect_deltas(scan: DataFrame, state: DataFrame, collection: str) -> DataFra
     return both.select("filepath", action.alias("action")).where("action IS NOT NULL")
 
 
+def job_queue(deltas: DataFrame, collection: str, created_at: float) -> DataFrame:
+    """Pending jobs of a scan, numbered by path: they replace whatever was queued for the collection.
+
+    Jobs are a set that run as one plan; the number only says in which order a queue would go.
+    """
+    number = F.row_number().over(Window.partitionBy("collection_name").orderBy("filepath")).cast("long")
+    return deltas.withColumn("collection_name", F.lit(collection)).select(
+        number.alias("id"), "filepath", "collection_name", "action", F.lit("PENDING").alias("status"), F.lit(created_at).alias("created_at"),
+        F.lit(None).cast("double").alias("completed_at"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+def replace_queue(jobs: DataFrame, new: DataFrame, collection: str) -> DataFrame:
+    """All jobs of the collection, whatever their status, give way to the new ones."""
+    return jobs.where(F.col("collection_name") != collection).unionByName(new)
+
+
+def finish_jobs(queue: DataFrame, done: DataFrame, completed_at: float) -> DataFrame:
+    """The queue with status, error and time of the jobs that ran (``filepath, status, error``)."""
+    ran = done.select("filepath", F.col("status").alias("_status"), F.col("error").alias("_error"))
+    return queue.join(ran, "filepath", "left").select(
+        "id", "filepath", "collection_name", "action", F.coalesce("_status", "status").alias("status"), "created_at",
+        F.when(F.col("_status").isNotNull(), F.lit(completed_at)).otherwise(F.col("completed_at")).alias("completed_at"), F.coalesce("_error", "error").alias("error"),
+    )
+
+
 def delta_counts(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 

@@ -37,8 +37,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Text work is dealt out: a small Parquet file is one scan partition."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if docs.rdd.getNumPartitions() < 2 else docs
+    """Text work is dealt out where there are fewer files than cores: a small file is one partition."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 # --- text -----------------------------------------------------------------------------------
@@ -272,6 +273,16 @@ def ingest_jobs(spark, sf_dir):
     return jobs.select("filepath", "action", "status", "error", F.length("text").alias("n_chars"))
 
 
+@query(f"""
+WITH {_DELTA_SQL}, q AS (SELECT row_number() OVER (ORDER BY encode(filepath)) AS id, filepath, action FROM d WHERE action IS NOT NULL)
+SELECT id, filepath, action, CASE WHEN action = 'DELETED' THEN 'PENDING' ELSE 'COMPLETED' END AS status, CASE WHEN action <> 'DELETED' THEN 9.0::DOUBLE END AS completed_at FROM q""")
+def job_queue(spark, sf_dir):
+    scan, state = _snapshot(spark, sf_dir)
+    deltas = ingest.detect_deltas(scan, state, COLLECTION)
+    jobs = ingest.run_jobs(scan.select("filepath", F.col("text").cast("binary").alias("content")), deltas.where("action <> 'DELETED'"))
+    return ingest.finish_jobs(ingest.job_queue(deltas, COLLECTION, 1.0), jobs, 9.0).select("id", "filepath", "action", "status", "completed_at")
+
+
 _POINTS_SQL = "p AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS dense, list_reverse(embedding::DOUBLE[]) AS image, text, source, lang AS category, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"
 
 

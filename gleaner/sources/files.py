@@ -71,3 +71,30 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("session_id"), F.col("modificationTime").cast("double").alias("updated_at"), F.posexplode(items).alias("turn", "m")
     ).select("session_id", "turn", "m.role", "m.content", "updated_at")
+
+
+def write_session(spark: SparkSession, path: str, session_id: str, turns: DataFrame) -> None:
+    """Store one session's history (``turn, role, content``) as a JSON array; it replaces the old."""
+    import re
+
+    if not re.fullmatch(r"[a-zA-Z0-9_-]+", session_id):
+        raise ValueError(f"not a session id: {session_id!r}")
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    row = turns.agg(F.to_json(F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("j")).first()
+    fs, target = _path(spark, f"{path.rstrip('/')}/{session_id}.json")
+    out = fs.create(target, True)
+    out.write(bytearray(row["j"] or "[]", "utf-8"))
+    out.close()
+
+
+def delete_session(spark: SparkSession, path: str, session_id: str) -> None:
+    """Remove a session's history and uploads; a missing session raises."""
+    fs, target = _path(spark, f"{path.rstrip('/')}/{session_id}.json")
+    if not fs.delete(target, False):
+        raise FileNotFoundError(session_id)
+    fs.delete(_path(spark, f"{path.rstrip('/')}/uploads/{session_id}")[1], True)
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -186,3 +186,43 @@ def test_images_and_sessions_files(spark, tmp_path):
     got = files.read_images(df, "/box").collect()
     assert (bytes(got[0]["bytes"]), got[0]["mime"], got[1]["file"]) == (b"ABC", "image/gif", "/box/a.png")
     assert got[2]["error"] and bytes(got[3]["bytes"]) == b"ABCDEFGHIJKLMNO"
+
+
+def test_session_files_round_trip(spark, tmp_path):
+    turns = spark.createDataFrame([(1, "assistant", "yo"), (0, "user", "hi")], "turn int, role string, content string")
+    files.write_session(spark, str(tmp_path), "s-1", turns)
+    assert [(r["turn"], r["content"]) for r in files.read_sessions(spark, str(tmp_path)).orderBy("turn").collect()] == [(0, "hi"), (1, "yo")]
+    files.delete_session(spark, str(tmp_path), "s-1")
+    assert files.read_sessions(spark, str(tmp_path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.delete_session(spark, str(tmp_path), "s-1")
+    with pytest.raises(ValueError):
+        files.write_session(spark, str(tmp_path), "../x", turns)
+
+
+def test_config(spark, tmp_path):
+    from gleaner.sources import config
+
+    got = config.of_mapping({"directory": "d", "image_dimensions": 8, "file_types": [".TXT"]})
+    assert (got.chunk_size, got.file_types, got.dimensions) == (500, (".txt",), None)
+    for bad in ({"directory": "d"}, {"directory": "d", "image_dimensions": 1, "x": 2}, {"directory": "d", "image_dimensions": 1, "chunk_overlap": 500}):
+        with pytest.raises(ValueError):
+            config.of_mapping(bad)
+    (tmp_path / "b.yml").write_text("directory: d")
+    (tmp_path / "a.yaml").write_text("{}")
+    (tmp_path / "c.txt").write_text("hello {x}")
+    assert config.listed(str(tmp_path)) == ["a.yaml", "b.yml"]
+    assert config.contained("a.yaml", str(tmp_path)).name == "a.yaml"
+    for bad in ("../x.yaml", "none.yaml", "c.txt"):
+        with pytest.raises(ValueError):
+            config.contained(bad, str(tmp_path))
+    assert config.template("c.txt", str(tmp_path)) == "hello {x}" and config.template("inline {x}") == "inline {x}"
+    assert config.dimensions_of(registry.embedders.create("hashed", 8), spark) == 8
+
+
+def test_queue_is_replaced(spark):
+    deltas = spark.createDataFrame([("b", "NEW"), ("a", "DELETED")], "filepath string, action string")
+    new = ingest.job_queue(deltas, "c", 1.0)
+    old = ingest.job_queue(deltas, "c", 0.5).unionByName(ingest.job_queue(deltas, "other", 0.5))
+    got = ingest.replace_queue(old, new, "c").collect()
+    assert sorted((r["collection_name"], r["id"], r["filepath"], r["created_at"]) for r in got) == [("c", 1, "a", 1.0), ("c", 2, "b", 1.0), ("other", 1, "a", 0.5), ("other", 2, "b", 0.5)]
