@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +42,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/gleaner-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:
-        atexit.register(_remove_staged)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+        atexit.register(lambda: release(staged_paths()))
+    _staged[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
 
 
-def _remove_staged() -> None:
-    for spark, path in _staged:
-        jsc = spark.sparkContext._jsc
-        if jsc is None:
-            continue
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-    _staged.clear()
+def staged_paths() -> list[str]:
+    """Folders of all staged tables that are still there, oldest first."""
+    return list(_staged)
+
+
+def release(paths: list[str]) -> None:
+    """Delete staged tables that nothing lazy reads any more; the rest goes when the driver ends."""
+    for path in paths:
+        spark = _staged.pop(path, None)
+        jsc = spark and spark.sparkContext._jsc
+        if jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Release tables that ``stage`` returned."""
+    release([t._staged_path for t in tables])
 
 
 def lower_ascii(text: Column) -> Column:
@@ -89,6 +101,7 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         # A fixpoint is reached once every node points straight at a root that points nowhere.
         chained = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         several = new.groupBy("a").count().where("count > 1").limit(1).count()
+        drop(here)
         here = new
         if not chained and not several:
             break

@@ -3,18 +3,19 @@
 A document is the set of its distinct k-word shingles, the inverted lists are those of the
 shingles, and a partner at Jaccard >= t of a document of n shingles must occur on at least
 T = ceil(t n) of its n lists. DivideSkip sets the T - 1 longest of them aside: every partner then
-shows up on at least one of the n - T + 1 shortest lists, which are merged, while the long lists
-are never built: each candidate is probed for them by binary search in its sorted set.
+shows up on at least one of the n - T + 1 shortest lists, and on c of the n - T + c shortest. Those are
+merged, c growing with n, while the long lists are never built: each candidate that is on c short
+lists with its partner is probed for the rest by binary search in its sorted set.
 
 * Which lists are long is read off a sketch of fixed size (counts of all shingles of all documents
-  in 2**20 cells). Any total order of the shingles gives exact results, so the sketch only decides
+  in 2**22 cells). Any total order of the shingles gives exact results, so the sketch only decides
   how short the merged lists are.
 * Equal sets are one class from the start; its smallest id stands for it.
-* Merging is a shuffle join on the shingle. Three exact bounds prune pairs inside it: sizes, the
-  position of the shared shingle, and the bits in which 256-bit parity signatures differ (never
-  more than the sets' symmetric difference).
+* Merging is a shuffle join on the shingle. Exact bounds prune pairs: sizes and the position of
+  the first shared shingle inside the join, then the bits in which 256-bit parity signatures differ
+  (never more than the sets' symmetric difference) and the number of short lists shared.
 * Groups of thousands of near copies are not expanded: first each document is compared with one
-  leader per list and components are formed; lists whose documents are all in one component are
+  leader per list (the one that meets most others, as an original does) and components are formed; lists whose documents are all in one component are
   then finished, and only pairs between different components are still compared. So no link
   between components is lost, and none inside one needs to be found.
 
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, drop, stage
 from .shingles import mix64, shingle_sets
 
-CELLS, SLICES = 1 << 20, 64
-#: Star rounds before the pairs between components, and lists used in each.
-ROUNDS, LISTS = 2, 4
+CELLS, SLICES = 1 << 22, 64
+#: Star rounds before the pairs between components.
+ROUNDS = 2
+#: Shingles of a document for each further short list that a pair must share.
+PER_SHARED = 50
 _U = np.uint64
 
 
@@ -47,38 +50,34 @@ def _ratio(percent: int):
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all shingles in ``CELLS`` cells: 4 MB whatever the input, and all that is collected."""
+    """Counts of all shingles in ``CELLS`` cells: 16 MB whatever the input, and all that is collected."""
 
     def tally(batches):
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
-                if len(s) > 20_000:
-                    total += np.bincount((s & _U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                else:
-                    total[(s & _U(CELLS - 1)).astype(np.int64)] += np.uint32(1)
-        parts = [p.tobytes() for p in total.reshape(SLICES, -1)]
+                total[(s & _U(CELLS - 1)).astype(np.int64)] += np.uint32(1)
+        parts = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in total.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS // SLICES, np.uint64)
         for group in groups:
             for part in group.column("counts"):
-                total += np.frombuffer(part.as_py(), np.uint32)
+                total += np.frombuffer(pa.decompress(part.as_py(), CELLS // SLICES * 4, "zstd"), np.uint32)
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["slice", "counts"])
 
     tallies = docs.select("text").mapInArrow(tally, "slice int, counts binary")
     total = np.zeros((SLICES, CELLS // SLICES), np.uint32)
     for row in tallies.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
+        total[row["slice"]] = np.frombuffer(pa.decompress(row["counts"], CELLS // SLICES * 4, "zstd"), np.uint32)
     return total.ravel()
 
 
 def list_classes(sketch: np.ndarray) -> np.ndarray:
-    """How long a shingle's list may be, in powers of two beyond what chance fills a cell with."""
-    usual = 4.0 * max(1.0, float(sketch.mean()))
-    return np.log2(np.maximum(1.0, sketch / usual)).astype(np.uint8)
+    """Each cell's count on a logarithmic scale of one byte: shingles of emptier cells come first."""
+    return np.minimum(255, np.round(16 * np.log2(1.0 + sketch))).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
@@ -99,7 +98,7 @@ def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Da
                 odd = (np.bincount((s >> _U(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 parity.append(np.packbits(odd).view(np.int64))
                 cls = order.value[(s & _U(CELLS - 1)).astype(np.int64)]
-                short = m * (100 - percent) // 100 + 1
+                short = m * (100 - percent) // 100 + 1 + m // PER_SHARED
                 ranked = s[np.lexsort((s, cls))[:short]] if cls.any() else s[:short]
                 lists.append(ranked.view(np.int64).tolist())
             p = np.array(parity, np.int64).reshape(-1, 4)
@@ -114,14 +113,28 @@ def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Da
     )
 
 
-def _near(percent: int, position: bool):
-    """The exact bounds on a candidate pair (x, y); see the module's text."""
-    need = _ratio(percent)(F.col("x.n"), F.col("y.n"))
-    differ = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4))
-    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
-    if position:
-        fits &= 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1 >= need
-    return fits
+def _near(percent: int):
+    """Exact bounds on a pair (x, y) at its first shared shingle: by sizes, and by what can follow."""
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (rest >= _ratio(percent)(F.col("x.n"), F.col("y.n")))
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity signatures differ no more than their sets may, on enough short lists.
+
+    Signatures are a few bytes and come first; short lists follow for what is left of the pairs.
+    """
+    def of(name: str, *columns) -> DataFrame:
+        return reps.select(F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    marks = ("n", "s0", "s1", "s2", "s3")
+    differ = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4))
+    near = differ <= F.col("n_a") + F.col("n_b") - 2 * _ratio(percent)(F.col("n_a"), F.col("n_b"))
+    left = stage(pairs.join(of("b", *marks), "b").join(of("a", *marks), "a").where(near).select("a", "b"), "pairs")
+    on_both = F.size(F.array_intersect("lists_a", "lists_b")) > F.floor(F.least("n_a", "n_b") / PER_SHARED)
+    found = stage(left.join(of("b", "n", "lists"), "b").join(of("a", "n", "lists"), "a").where(on_both).select("a", "b"), "pairs")
+    drop(left)
+    return found
 
 
 def probe(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -153,42 +166,58 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     """One row per document: ``doc_id, n_shingles, component_id`` at Jaccard >= percent / 100."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     described = stage(signatures(texts, k, percent, list_classes(count_sketch(texts, k))), "sets")
-    classes = described.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"))
-    marks = ["n", "s0", "s1", "s2", "s3"]
     # One document per class goes on: the one whose id is the class's smallest.
-    reps = described.where("n > 0").join(classes.select(F.col("doc").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
-    postings = reps.select("doc_id", F.posexplode("lists").alias("place", "shingle"), *marks)
-    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")).where("length > 1").select("shingle")
-    lists = stage(postings.join(shared, "shingle").withColumnRenamed("doc_id", "doc"), "lists")
+    one = F.min(F.struct("doc_id", "n", "s0", "s1", "s2", "s3", "lists")).alias("r")
+    reps = stage(described.where("n > 0").groupBy("f1", "f2").agg(one).select(F.col("r.doc_id").alias("doc"), "r.n", "r.s0", "r.s1", "r.s2", "r.s3", "r.lists"), "reps")
+    ids = stage(described.select("doc_id", "n", "f1", "f2"), "ids")
+    drop(described)
+    postings = reps.select("doc", F.posexplode("lists").alias("place", "shingle"))
+    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    met = stage(postings.join(shared, "shingle"), "met")
+    # How many others a document meets: an original meets more than its altered copies do.
+    meets = met.groupBy("doc").agg(F.sum("length").alias("meets"))
+    lists = stage(met.drop("length").join(reps.select("doc", "n").join(meets, "doc"), "doc"), "lists")
+    drop(met)
+    # Only documents with a partner within the bounds are looked at again, so the texts are
+    # shuffled once and what goes on is the near copies' share of them.
+    partner = lists.alias("x").join(lists.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc") != F.col("y.doc")) & _near(percent), "left_semi")
+    partnered = stage(partner.select("doc").distinct(), "partnered")
+    every, lists = (lists, reps), stage(lists.join(partnered, "doc", "left_semi"), "lists")
+    reps = stage(reps.join(partnered, "doc", "left_semi"), "reps")
+    drop(*every)
+    texts = stage(texts.join(partnered.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     links = None
     named = lists.withColumn("component", F.col("doc"))
     for turn in range(ROUNDS):
-        # Stars: on each of a few lists a document meets one leader, another one each round.
-        part = named.where(F.col("place").between(turn * LISTS, turn * LISTS + LISTS - 1))
-        by = F.xxhash64("doc", F.lit(turn))
-        leaders = part.groupBy("shingle").agg(F.min_by(F.struct("doc", "component", *marks), by).alias("y")).where("y.doc IS NOT NULL")
+        # Stars: on each list a document meets the leader, in a later round another one.
+        by = F.col("meets") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        leaders = named.groupBy("shingle").agg(F.max_by(F.struct("doc", "component", "n", "place"), F.struct(by.alias("by"), (-F.col("doc")).alias("id"))).alias("y"))
         pairs = (
-            part.alias("x").join(leaders, "shingle").where(F.col("x.component") != F.col("y.component")).where(_near(percent, False))
+            named.alias("x").join(leaders, "shingle").where(F.col("x.component") != F.col("y.component")).where(_near(percent))
             .select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
         )
-        found = stage(probe(pairs, texts, k, percent), "links")
+        likely = _alike(pairs, reps, percent)
+        found = stage(probe(likely, texts, k, percent), "links")
+        drop(likely)
         links = found if links is None else links.unionByName(found)
         labels = components(links, "near")
         named = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     left = stage(named.join(open_lists, "shingle", "left_semi"), "open")
     rest = (
-        left.alias("x").join(left.alias("y"), "shingle").where("x.doc < y.doc AND x.component <> y.component").where(_near(percent, True))
+        left.alias("x").join(left.alias("y"), "shingle").where("x.doc < y.doc AND x.component <> y.component").where(_near(percent))
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     )
-    found = stage(probe(rest, texts, k, percent), "links")
+    likely = _alike(rest, reps, percent)
+    found = stage(probe(likely, texts, k, percent), "links")
+    drop(likely)
     labels = components(links.unionByName(found), "near")
-    ids = (
-        classes.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("f1", "f2", F.coalesce("component", "doc").alias("component_id"))
-    )
-    sizes = described.where("n > 0").select("doc_id", "f1", "f2", "n").join(ids, ["f1", "f2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return sizes.unionByName(described.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    drop(reps, partnered, lists, texts, left)
+    classes = ids.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"))
+    named = classes.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("f1", "f2", F.coalesce("component", "doc").alias("component_id"))
+    sizes = ids.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return sizes.unionByName(ids.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 SQL = r"""
