@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceil
     w = w.withColumn("water", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.col("ratio"))).over(all_))
     w = w.withColumn("target", F.least("most", F.coalesce(F.col("water") * F.col("weight"), F.col("most"))))
     upto = F.sum("target").over(by_rank.rowsBetween(Window.unboundedPreceding, 0))
-    w = w.withColumn("high", F.floor(F.round(upto / F.sum("target").over(all_) * F.lit(POINTS), 3)))
+    w = w.withColumn("high", F.coalesce(F.floor(F.round(F.try_divide(upto, F.sum("target").over(all_)) * F.lit(POINTS), 3)), F.lit(0)))
     return w.select("key", "source", "source_size", "target", F.coalesce(F.lag("high").over(by_rank), F.lit(0)).alias("low"), "high", "budget")
 
 
