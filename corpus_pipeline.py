@@ -1,26 +1,48 @@
 """From raw documents to packed sequences: language, copies, near copies, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
-back as the next one's docs; all but the last return the columns of ``documents``.
+back as the next one's docs; all but the last return the columns of ``documents``. What a stage
+has staged for itself is deleted when the next stage begins, unless that one's docs still read it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, language_id, mixing, ngram_join, packing, queries
-from gleaner.llm.common import stage, table
+from gleaner.llm.common import drop, release, stage, staged_paths, table
 
 #: A calibrated probability of its best language below which a text is in none of them.
 LEAST_SCORE = 0.5
 
 
+_left: list[str] = []
+
+
+def _step(function):
+    """A stage that first deletes what the stage before it has left behind."""
+
+    @functools.wraps(function)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any(path in file for path in _left for file in docs.inputFiles()):
+            release(_left)
+        before = set(staged_paths())
+        out = function(spark, docs, sf_dir)
+        _left[:] = [path for path in staged_paths() if path not in before]
+        return out
+
+    return run_step
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose id is not in ``dropped``: the smaller side of the decision moves."""
     return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_step
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is in no language: no letter, or no language probable enough."""
     model = language_id.fit(docs, ~language_id.held_out())
@@ -28,16 +50,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_step
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that is equal but for white space."""
     return _without(docs, exact_dedup.dedup_exact(docs).where("NOT kept"))
 
 
+@_step
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group linked by the n-gram Jaccard join."""
     return _without(docs, ngram_join.jaccard_components(docs).where("component_id <> doc_id"))
 
 
+@_step
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole copy."""
     copies = mixing.mix(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
@@ -47,6 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@_step
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of at most 2048 tokens."""
     return packing.pack(docs, queries.tokenizer_files())
@@ -67,6 +93,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for n, (name, step) in enumerate(STAGES):
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        if n:
+            drop(before)
     return docs
