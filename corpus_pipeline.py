@@ -16,7 +16,7 @@ from gleaner.llm import exact_dedup, language_id, mixing, ngram_join, packing, q
 from gleaner.llm.common import drop, release, stage, staged_paths, table
 
 #: A calibrated probability of its best language below which a text is in none of them.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 _left: list[str] = []
