@@ -467,10 +467,10 @@ def prompt_assembly(spark, sf_dir):
 
 @query("""
 WITH f AS (SELECT (doc_id // 3) AS session_id, string_agg('[FILE: ' || source || '.txt]' || chr(10) || text || chr(10) || '[/FILE]', chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10) AS b
-  FROM documents WHERE doc_id % 3 < 2 GROUP BY doc_id // 3)
+  FROM documents GROUP BY doc_id // 3)
 SELECT conv_id AS session_id, coalesce(b, '') || text AS prompt FROM conversations LEFT JOIN f ON session_id = conv_id WHERE turn = 0""")
 def prompt_files(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("doc_id % 3 < 2")
+    docs = read(spark, sf_dir, "documents")
     files = docs.select(F.floor(F.col("doc_id") / 3).alias("session_id"), F.col("doc_id").alias("seq"), F.concat("source", F.lit(".txt")).alias("name"), "text")
     return sessions.with_files(files, turns(spark, sf_dir).where("turn = 0").select("session_id", F.col("content").alias("prompt")))
 
@@ -659,28 +659,36 @@ def template_render(spark, sf_dir):
     )
 
 
-_BODY = "concat('# PR', chr(10), '## Summary', chr(10), CASE WHEN doc_id % 3 = 0 THEN '[Answer here]' WHEN doc_id % 3 = 1 THEN '<!-- hint -->short' ELSE left(text, 40) END, chr(10), '## Key Changes', chr(10), '* why? *', chr(10), left(text, 30), chr(10), '## Verification', chr(10), left(text, 50))"
+_PLAIN_SQL = "p AS (SELECT doc_id, replace(text, '#', '') AS t FROM documents)"
+_KEPT_SQL = "regexp_replace(regexp_replace(trim(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), E' \\t\\n\\r' || chr(11) || chr(12)), '(?m)^\\s*\\*.*?\\?\\*\\s*$', '', 'g'), '(?m)^\\s*[-*+]\\s*$', '', 'g')"
 
 
 def _bodies(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 3 == 0, "[Answer here]").when(F.col("doc_id") % 3 == 1, "<!-- hint -->short").otherwise(F.substring("text", 1, 40))
-    parts = (F.lit("# PR\n## Summary\n"), said, F.lit("\n## Key Changes\n* why? *\n"), F.substring("text", 1, 30), F.lit("\n## Verification\n"), F.substring("text", 1, 50))
-    return read(spark, sf_dir, "documents").where("n_chars >= 60 AND text NOT LIKE '#%'").select("doc_id", F.concat(*parts).alias("body"))
+    """Every document as the sections of a form: a placeholder, a hint or its text first."""
+    text = F.replace(F.col("text"), F.lit("#"), F.lit(""))
+    said = F.when(F.col("doc_id") % 3 == 0, "[Answer here]").when(F.col("doc_id") % 3 == 1, "<!-- hint -->short").otherwise(text)
+    parts = (F.lit("# PR\n## Summary\n"), said, F.lit("\n## Key Changes\n* why?*\n"), text, F.lit("\n## Verification\n"), text)
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.concat(*parts).alias("body"))
 
 
-@query("""
-SELECT doc_id, unnest(['pr', 'summary', 'key changes', 'verification']) AS header FROM documents WHERE n_chars >= 60 AND text NOT LIKE '#%' AND NOT regexp_matches(left(text, 50), '\\n#+(\\s|$)')""".replace("\\\\", "\\"))
+@query(f"""
+WITH {_PLAIN_SQL}, h AS (SELECT doc_id, unnest(['pr', 'summary', 'key changes', 'verification']) AS header, t FROM p)
+SELECT doc_id, header, CASE header WHEN 'pr' THEN 1 WHEN 'summary' THEN 2 + CASE doc_id % 3 WHEN 0 THEN 13 WHEN 1 THEN 18 ELSE length(t) END
+  WHEN 'key changes' THEN 10 + length(t) ELSE 1 + length(t) END::BIGINT AS n_chars FROM h""")
 def section_parse(spark, sf_dir):
-    rows = _bodies(spark, sf_dir).where(~F.regexp_replace("body", r"^# PR\n## Summary\n|\n## (Key Changes|Verification)\n", " ").rlike(r"\n#+(\s|$)"))
-    return rows.select("doc_id", F.explode(sections.parse(F.col("body"))).alias("s")).select("doc_id", "s.header")
+    found = _bodies(spark, sf_dir).select("doc_id", F.explode(sections.parse(F.col("body"))).alias("s"))
+    return found.select("doc_id", "s.header", F.length("s.content").cast("long").alias("n_chars"))
 
 
-@query("""
-SELECT doc_id, list_aggregate(CASE doc_id % 3 WHEN 0 THEN ['placeholder: Summary', 'too short: Summary 0'] WHEN 1 THEN ['too short: Summary 5'] ELSE []::VARCHAR[] END || ['missing: Discussion & Pitfalls'], 'string_agg', '; ') AS errors
-FROM documents WHERE n_chars >= 60 AND regexp_matches(text, '^[^#\\[\\n*+?-]{51}')""".replace("\\\\", "\\"))
+@query(f"""
+WITH {_PLAIN_SQL}, k AS (SELECT doc_id, length(trim({_KEPT_SQL}, E' \\t\\n\\r' || chr(11) || chr(12))) AS n FROM p)
+SELECT doc_id, array_to_string(list_filter([
+  CASE doc_id % 3 WHEN 0 THEN 'placeholder: Summary' END,
+  CASE doc_id % 3 WHEN 0 THEN 'too short: Summary 0' WHEN 1 THEN 'too short: Summary 5' ELSE CASE WHEN n < 10 THEN 'too short: Summary ' || n END END,
+  CASE WHEN n < 10 THEN 'too short: Key Changes ' || n END, 'missing: Discussion & Pitfalls', CASE WHEN n < 10 THEN 'too short: Verification ' || n END], lambda x: x IS NOT NULL), '; ') AS errors
+FROM k""".replace("\\\\", "\\"))
 def section_validate(spark, sf_dir):
-    rows = _bodies(spark, sf_dir).join(read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[^#\[\n*+?-]{51}")).select("doc_id"), "doc_id", "left_semi")
-    return rows.select("doc_id", F.array_join(sections.errors(F.col("body")), "; ").alias("errors"))
+    return _bodies(spark, sf_dir).select("doc_id", F.array_join(sections.errors(F.col("body")), "; ").alias("errors"))
 
 
 @query("""
