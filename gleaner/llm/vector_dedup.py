@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, drop, stage
 
 THRESHOLD = 0.98
 #: Vectors that centroids are fitted on at most, vectors of a cell aimed at, cells at most.
@@ -207,6 +207,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
         .select(*group, "t.one", "t.two", "vec_id", "unit", "copies", "guest", "block")
     )
     met = stage(tiles.groupBy(*group, "one", "two").applyInArrow(_compare(threshold), "vec_id long, links long, root long"), "met")
+    drop(dealt)
     labels = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vectors")
     links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     per_class = (
