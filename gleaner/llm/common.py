@@ -65,8 +65,13 @@ def release(paths: list[str]) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Release tables that ``stage`` returned."""
+    """Release tables that ``stage`` returned, and the shuffle files behind them.
+
+    Spark deletes shuffle files once the driver's collector finds their plans unused, which may
+    be much later; a collection now frees the disks of all executors before the next large step.
+    """
     release([t._staged_path for t in tables])
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def lower_ascii(text: Column) -> Column:
@@ -101,7 +106,7 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         # A fixpoint is reached once every node points straight at a root that points nowhere.
         chained = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         several = new.groupBy("a").count().where("count > 1").limit(1).count()
-        drop(here)
+        release([here._staged_path])
         here = new
         if not chained and not several:
             break
