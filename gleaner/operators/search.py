@@ -84,8 +84,8 @@ def sparse_vectors(points: DataFrame, text_col: str = "text") -> DataFrame:
 def sparse(points: DataFrame, query_text: str, limit: int = 5, filters: dict | None = None, text_col: str = "text") -> DataFrame:
     """The ``limit`` best by dot product of hashed word counts; no overlap, no hit.
 
-    Only words of the query are hashed and counted in the texts, so nothing is shuffled but the
-    few counts of matching texts.
+    Hashing is the costly part, so each distinct word is hashed once; the few whose bucket the
+    query has are joined back to the texts, and only their counts are added up.
     """
     spark = points.sparkSession
     query = (
@@ -96,10 +96,12 @@ def sparse(points: DataFrame, query_text: str, limit: int = 5, filters: dict | N
     if not weights:
         return points.withColumn("score", F.lit(0.0)).limit(0)
     table = F.create_map(*(F.lit(x) for kv in sorted(weights.items()) for x in kv))
-    buckets = F.transform(T.tokens(F.col(text_col)), lambda w: T.hash_bucket(w))
-    score = F.aggregate(F.transform(buckets, lambda b: F.coalesce(F.try_element_at(table, b), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    found = filtered(points, filters).withColumn("score", F.round(score, 6))
-    return found.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    found = filtered(points, filters)
+    words = found.select("id", F.explode(T.tokens(F.col(text_col))).alias("word"))
+    matching = words.select("word").distinct().withColumn("weight", F.try_element_at(table, T.hash_bucket(F.col("word")))).where("weight IS NOT NULL")
+    scores = words.join(matching, "word").groupBy("id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    best = scores.orderBy(F.desc("score"), "id").limit(limit)
+    return found.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")  # at most ``limit`` rows
 
 
 def hybrid(points: DataFrame, query: list[float], query_text: str | None, limit: int = 5, metric: str = "cosine", filters: dict | None = None, rrf_k: int = RRF_K) -> DataFrame:
