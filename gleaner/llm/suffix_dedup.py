@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import drop, partitions, stage
 from .shingles import mix64, row_chunks, text_buffers
 
 LENGTH, CORE = 200, 50
@@ -349,8 +349,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         .mapInArrow(_make_runs(_splitters(found, parts), parts), "part int, run binary, doc_id long, mark long, start long, end long"),
         "runs",
     )
+    drop(found, counts)
     merged = runs.where("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge_part, "doc_id long, mark long, start long, end long")
-    return stage(runs.where("run IS NULL").select("doc_id", "mark", "start", "end").unionByName(merged), "spans")
+    spans = stage(runs.where("run IS NULL").select("doc_id", "mark", "start", "end").unionByName(merged), "spans")
+    drop(runs)
+    return spans
 
 
 def _splitters(found: DataFrame, parts: int) -> list[bytes]:
