@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
 back as the next one's docs; all but the last return the columns of ``documents``. What a stage
 has staged for itself is deleted when the next stage begins, unless that one's docs still read it.
+
+Copies, near copies and mixture are decided for each row, so rows that repeat a document leave one
+of them, and rows that share an id (or have none) with different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -37,9 +40,17 @@ def _step(function):
     return run_step
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``dropped``: the smaller side of the decision moves."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row: their id, or where rows share an id or have none, a number written with the row."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``dropped``: the smaller side of the decision moves."""
+    return rows.join(dropped.select("row"), "row", "left_anti").select(*(c for c in rows.columns if c != "row"))
 
 
 @_step
@@ -53,21 +64,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_step
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that is equal but for white space."""
-    return _without(docs, exact_dedup.dedup_exact(docs).where("NOT kept"))
+    rows = _rows(docs)
+    return _without(rows, exact_dedup.dedup_exact(rows, row_col="row").where("NOT kept"))
 
 
 @_step
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group linked by the n-gram Jaccard join."""
-    return _without(docs, ngram_join.jaccard_components(docs).where("component_id <> doc_id"))
+    rows = _rows(docs)
+    found = ngram_join.jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return _without(rows, found.join(first.select(F.col("first.row").alias("row")), "row", "left_anti"))
 
 
 @_step
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole copy."""
-    copies = mixing.mix(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
+    rows = _rows(docs)
+    copies = mixing.mix(rows, row_col="row").where("size > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
     return (
-        docs.join(copies.where("copies > 0"), "doc_id")
+        rows.join(copies.where("copies > 0"), "row")
         .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
     )
 

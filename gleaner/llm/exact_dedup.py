@@ -25,26 +25,28 @@ SPLITTER = 64
 SALTS = 256
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting white space. The longest original text, then
-    the smallest id, stays.
+    the smallest id, stays. ``row_col``: a key of each row, returned with its answer.
     """
+    key = [row_col] if row_col else []
     spark = docs.sparkSession
     n = partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
+        *key,
         F.col(id_col).alias("doc_id"),
         F.translate(text, WHITE_SPACE, "").alias("norm"),
         F.length(text).alias("n_chars"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(SALTS, n))).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.col(id_col), *key), F.lit(max(SALTS, n))).cast("int").alias("salt"),
     )
     sorted_rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER)).repartitionByRange(n, "head", "salt")
     run = Window.partitionBy("head", "norm", "salt")
     slim = stage(
         sorted_rows.select(
-            "doc_id", "salt", "n_chars",
+            *key, "doc_id", "salt", "n_chars",
             F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"),
             F.row_number().over(run.orderBy(F.desc("n_chars"), "doc_id")).alias("place"),
             F.count(F.lit(1)).over(run).alias("copies"),
@@ -58,6 +60,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sum("copies").over(text_of).alias("group_size"),
     )
     return slim.join(winners, ["sha", "salt"]).select(
+        *key,
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),

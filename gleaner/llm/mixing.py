@@ -82,11 +82,15 @@ def schedule(targets: DataFrame, block: int = BLOCK, ceiling: int = CEILING) ->
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, row_col: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken``.
+
+    ``row_col``: a key of each row, returned with its answer.
+    """
+    row = [row_col] if row_col else []
     rows = stage(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+            *row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("key"),
             words_of(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("h"),
         ).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
@@ -95,24 +99,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("words"))
     targets = stage(source_targets(ranges.groupBy("key", "source").agg(F.sum("words").alias("source_size"))), "targets")
     starts = ranges.select("key", "range", (F.sum("words").over(Window.partitionBy("key").orderBy("range")) - F.col("words")).alias("start"))
-    inside = Window.partitionBy("key", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "range").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(starts.hint("merge"), ["key", "range"]).select(
-        "doc_id", "key", "size", (F.col("start") + F.sum("size").over(inside) - F.col("size")).alias("at")
+        *row, "doc_id", "key", "size", (F.col("start") + F.sum("size").over(inside) - F.col("size")).alias("at")
     )
     takes = schedule(targets, block).groupBy("key", "block").agg(F.count(F.lit(1)).alias("passes"))
     pieces = placed.where("size > 0").select(
-        "doc_id", "key", "at", "size",
+        *row, "doc_id", "key", "at", "size",
         F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"),
     )
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
     taken = (
         pieces.join(takes.hint("merge"), ["key", "block"], "left")
-        .groupBy("doc_id", "key", "at", "size").agg(F.sum(overlap * F.coalesce("passes", F.lit(0))).alias("taken"))
+        .groupBy(*row, "doc_id", "key", "at", "size").agg(F.sum(overlap * F.coalesce("passes", F.lit(0))).alias("taken"))
     )
-    taken = taken.unionByName(placed.where("size = 0").select("doc_id", "key", "at", "size", F.lit(0).cast("long").alias("taken")))
+    taken = taken.unionByName(placed.where("size = 0").select(*row, "doc_id", "key", "at", "size", F.lit(0).cast("long").alias("taken")))
     per_source = targets.select("key", "source_size", "target")
     return taken.join(per_source, "key").select(
-        "doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken")
+        *row, "doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken")
     )
 
 

@@ -40,3 +40,22 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and got[1001] == 1000 and {got[5000 + i] for i in range(50)} == {5000}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_that_share_an_id(spark):
+    """Repeated rows leave exactly one, and two texts of one id are judged, kept and mixed apart."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = a.replace("a30 ", "other ")
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c), (9, near), (9, b + " "), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    exact = stage(C.drop_exact_copies(spark, docs, ""), "exact_dedup")
+    assert exact.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in exact.collect()) == sorted([(1, a), (2, c), (9, near), (9, b + " "), (4, "")])
+    twice = docs.where("doc_id = 1").unionByName(exact.where("doc_id = 9")).unionByName(exact.where("doc_id = 2"))
+    closer = a.replace("a59", "other")
+    twice = twice.unionByName(spark.createDataFrame([(0, closer, "en", "s", 0), (0, b, "en", "s", 0)], docs.schema))
+    kept = stage(C.drop_near_copies(spark, twice, ""), "ngram_join")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(0, closer), (0, b), (2, c)])
+    two = stage(spark.createDataFrame([(5, " ".join(["w"] * n), "en", "s", 0) for n in (640, 1280)] + [(6, " ".join(["v"] * 1280), "en", "s", 0)], docs.schema), "two")
+    mixed = [len(r.text.split()) for r in C.mix_sources(spark, two, "").collect()]
+    assert {640, 1280} == set(mixed) and len(mixed) <= 2 * 3 and abs(sum(mixed) - 1.5 * 3200) <= 1280
