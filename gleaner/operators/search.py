@@ -139,20 +139,14 @@ def search(
 def knn_batch(points: DataFrame, queries: DataFrame, limit: int = 5, metric: str = "cosine", most_queries: int = 4096) -> DataFrame:
     """The ``limit`` nearest points of each of many queries (``query_id, query``).
 
-    Queries are packed into one row each block and joined to every point by an explode of the
-    block, so the points are scanned once and no pair table is shuffled: each task keeps the best
-    ``limit`` per query (partial ``max_by`` k) before anything moves. Blocks are bounded by
-    ``most_queries``; more queries than that are refused, to be run in several calls.
+    Queries are packed into blocks of at most ``most_queries``, one row each, and every block is
+    joined to every point and exploded there, so no pair table is shuffled: each task keeps the
+    best ``limit`` per query before anything moves. However many queries there are, all are
+    answered; blocks are broadcast only while they are small together.
     """
-    rows = queries.select("query_id", "query").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"at most {most_queries} queries a call")
-    spark = points.sparkSession
-    block = spark.createDataFrame([(rows,)], "q array<struct<query_id:long,query:array<double>>>") if rows else None
-    if block is None:
-        return points.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    # A single row whose size is bounded above.
-    pairs = points.where(F.col("dense").isNotNull()).select("id", "dense").join(F.broadcast(block)).select("id", "dense", F.explode("q").alias("q"))
+    numbered = queries.select("query_id", F.col("query").cast("array<double>").alias("query"), F.floor(F.monotonically_increasing_id() / most_queries).alias("block"))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("q")).select("q")
+    pairs = points.where(F.col("dense").isNotNull()).select("id", "dense").crossJoin(blocks).select("id", "dense", F.explode("q").alias("q"))
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "id", F.round(V.score(metric, F.col("dense"), F.col("q.query")), 6).alias("score")).where("score IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_by_score(metric)))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -226,3 +226,14 @@ def test_queue_is_replaced(spark):
     old = ingest.job_queue(deltas, "c", 0.5).unionByName(ingest.job_queue(deltas, "other", 0.5))
     got = ingest.replace_queue(old, new, "c").collect()
     assert sorted((r["collection_name"], r["id"], r["filepath"], r["created_at"]) for r in got) == [("c", 1, "a", 1.0), ("c", 2, "b", 1.0), ("other", 1, "a", 0.5), ("other", 2, "b", 0.5)]
+
+
+def test_knn_batch_answers_every_query(spark):
+    """More queries than a block holds are answered in several blocks, none refused."""
+    points = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)] + [(99, None)], "id long, dense array<double>")
+    queries = points.where("id < 25").select(F.col("id").alias("query_id"), F.col("dense").alias("query"))
+    for most in (4, 4096):
+        got = search.knn_batch(points, queries, 3, "euclid", most_queries=most).collect()
+        best = {(q, n + 1): i for q in range(25) for n, i in enumerate(sorted(range(40), key=lambda i: (abs(i - q), i))[:3])}
+        assert len(got) == 75 and {(r["query_id"], r["rank"]): r["id"] for r in got} == best
+    assert search.knn_batch(points, queries.limit(0)).collect() == []
