@@ -13,7 +13,8 @@ Pages without an article are labelled by the model alone.
 
 Defined results: null or empty html, or a page without content, gives an empty text with 0
 characters; repeated rows get equal answers; an empty table gives an empty result; other columns
-are ignored. Malformed markup (unclosed or stray tags, unclosed comments) is read to its end.
+are ignored. Malformed markup (unclosed or stray tags, unclosed comments) is read to its end; a head
+without end tag ends at the first text or element that cannot stand in one.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ SAMPLE, PATHS, WORDS, HIDDEN = 200, 96, 32, 12
 DIM, EPOCHS, RATE = PATHS + WORDS + 4, 30, 0.02
 #: Elements of running text, those without an end tag, those whose content is no text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noframes xmp svg math select object".split())
+RAW = set("script style noscript template textarea title iframe noframes svg select annotation annotation-xml".split())
+#: What can stand in a head; anything else ends one that is still open.
+HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: What marks page furniture, as an element or as a word of a class, id or role.
 FURNITURE = set("nav header footer aside form button fieldset dialog menu address-bar".split())
 MARKS = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|side-?bar|menu|nav(?:igation|bar)?|breadcrumbs?|cookies?|consent|notice|alert|popup|modal|comments?|replies|discussion|share|social|related|recommended|newsletter|subscribe|footer|header|masthead|widget|toolbar|pagination|login|search|complementary|contentinfo)(?:$|[-_ ])")
@@ -71,12 +75,20 @@ def blocks_of(page: str | None) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def end_head() -> None:
+        for i, e in enumerate(stack):
+            if e.split(" ", 1)[0] == "head":
+                del stack[i:]
+                break
+
     page = page or ""
     at, raw_end = 0, None
     while at < len(page):
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
+            if not text.isspace():
+                end_head()
             parts.append(text)
             if any(e == "a" or e.startswith("a ") for e in stack[-4:]):
                 linked += len(text)
@@ -86,6 +98,8 @@ def blocks_of(page: str | None) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if not m[1] and name not in HEAD:
+            end_head()
         if name not in INLINE:
             if name not in RAW:
                 close_block()
@@ -113,6 +127,11 @@ def blocks_of(page: str | None) -> list[Block]:
                         break
             if not m[3].rstrip().endswith("/"):
                 stack.append(_element(name, m[3]))
+            if name == "xmp":  # its tags are text, up to its own end
+                end = re.compile(r"</xmp\s*>", re.I).search(page, at)
+                raw_end = end.start() if end else len(page)
+                parts.append(html.escape(page[at:raw_end]))
+                at = raw_end
     close_block()
     return out
 

@@ -28,6 +28,21 @@ def test_malformed_pages():
     assert [b.text for b in H.blocks_of("<p>a<p>b<br>c <i>d</i>e")] == ["a", "b c de"]
 
 
+def test_head_without_end_tag():
+    for start in ("<body>", "", "<div>", "<img src=x>"):
+        blocks = H.blocks_of(f"<html><head><meta charset=x><title>T</title><style>p{{}}</style>\n{start}<article><p>one</p><p>two</p></article>")
+        assert [b.text for b in blocks] == ["one", "two"] and all(H.weak_label(b.path) and "head" not in b.path for b in blocks)
+    assert [b.text for b in H.blocks_of("<head><title>T</title>bare <b>text</b>")] == ["bare text"]
+    assert [b.text for b in H.blocks_of("<head><title>T</title></head><p>x")] == ["x"]
+
+
+def test_visible_text_of_math_xmp_and_object():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds<xmp><b>a</b> &amp; <p></xmp><object data=f><param name=a><p>shown</p></object><p>end</article>"
+    blocks = H.blocks_of(page)
+    assert [b.text for b in blocks] == ["so x=1 holds", "<b>a</b> &amp; <p>", "shown", "end"] and all(H.weak_label(b.path) for b in blocks)
+    assert [b.text for b in H.blocks_of("<xmp>never <i>closed")] == ["never <i>closed"]
+
+
 def test_extraction(spark):
     rows, df = pages(spark)
     got = {r["page_id"]: r for r in H.extract(df).collect()}
