@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,10 +167,9 @@ def vectors_of(blocks: list[Block], known: dict[str, np.ndarray]) -> np.ndarray:
                     v[j] += sign
                 known[e] = v
             x[i, :PATHS] += known[e]
-        words = b.text.split()
-        for w in words[:: max(1, len(words) // 64)]:
+        for w, n in Counter(b.text.split()).items():
             j, sign = _hash(w, WORDS)
-            x[i, PATHS + j] += sign
+            x[i, PATHS + j] += sign * n
         scale = np.abs(x[i, PATHS : PATHS + WORDS]).sum()
         x[i, PATHS : PATHS + WORDS] *= 0.5 / max(scale, 1.0)
         x[i, -4:] = (np.log1p(len(b.text)) / 8, b.linked, i / max(1, len(blocks) - 1), 1.0)

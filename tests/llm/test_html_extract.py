@@ -43,6 +43,15 @@ def test_visible_text_of_math_xmp_and_object():
     assert [b.text for b in H.blocks_of("<xmp>never <i>closed")] == ["never <i>closed"]
 
 
+def test_every_word_of_a_long_block_counts():
+    import numpy as np
+
+    words = ["same"] * 10_000
+    same = H.vectors_of([H.Block(("p",), " ".join(words), 0.0)], {})[0]
+    words[1:156] = ["lots"] * 155
+    assert not np.allclose(same, H.vectors_of([H.Block(("p",), " ".join(words), 0.0)], {})[0])
+
+
 def test_extraction(spark):
     rows, df = pages(spark)
     got = {r["page_id"]: r for r in H.extract(df).collect()}
