@@ -37,3 +37,11 @@ def test_weights_are_sparse_and_labels_unseen_in_prediction():
     assert model.languages == ["de", "en"] and (model.table == 0).mean() > 0.9
     p, has = model.scores(["the dog", "die katze", "42"], L._letters())
     assert p[0].argmax() == 1 and p[1].argmax() == 0 and has.tolist() == [True, True, False]
+
+
+def test_a_rare_language_is_learned(spark):
+    common = spark.range(40_000).selectExpr("id AS doc_id", "concat('the cat and the dog ', id) AS text", "'en' AS lang")
+    rare = spark.range(40_000, 40_020).selectExpr("id AS doc_id", "concat('der hund und die katze ', id) AS text", "'de' AS lang")
+    model = L.fit(common.unionByName(rare), F.lit(True), sample=100)
+    assert model.languages == ["de", "en"]
+    assert model.scores(["der hund und die katze", "the cat and the dog"], L._letters())[0].argmax(axis=1).tolist() == [0, 1]
