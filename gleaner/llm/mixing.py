@@ -9,7 +9,7 @@ Nothing is ordered in one task but the table of sources: ranks and word offsets
 over chunks (of 4096 slots, of 4096 hash ranges a source), so a hot source is spread out.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own,
-last; repeated rows are documents of their own; an empty table gives an empty result. The order
+last; a null id is hashed as an empty one; repeated rows are documents of their own; an empty table gives an empty result. The order
 of documents is that of a digest of their id, so reruns agree.
 """
 
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(
             *row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("key"),
-            words_of(F.col(text_col)).alias("size"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("h"),
+            words_of(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
         ).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
         "mix",
     )

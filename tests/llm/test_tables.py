@@ -116,3 +116,9 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).collect() == []
     same = ngram_join.jaccard_components(docs(spark, [(4, "a b c d", "s")] * 3)).collect()
     assert [tuple(r) for r in same] == [(4, 2, 4)] * 3
+
+
+def test_mixing_keeps_rows_without_id(spark):
+    got = mixing.mix(docs(spark, [(None, "w " * 640, "s"), (None, None, "s"), (1, "w " * 640, "s")])).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 0), (0, 640), (1, 640)]
+    assert sum(r["taken"] for r in got) == 1920 and {r["source_size"] for r in got} == {1280}
