@@ -9,8 +9,11 @@ executor costs a re-read of shared files and not a recomputation of the whole pl
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; the warehouse only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; the warehouse where that is unset on one machine (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return there or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or what it becomes with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here."""
     spark = df.sparkSession
@@ -74,6 +87,13 @@ def drop(*tables: DataFrame) -> None:
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """At the end of a Python task: hand freed memory back, since the worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,5 +1,8 @@
+import re
+import tracemalloc
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import language_id as L
@@ -45,3 +48,45 @@ def test_a_rare_language_is_learned(spark):
     model = L.fit(common.unionByName(rare), F.lit(True), sample=100)
     assert model.languages == ["de", "en"]
     assert model.scores(["der hund und die katze", "the cat and the dog"], L._letters())[0].argmax(axis=1).tolist() == [0, 1]
+
+
+def test_slices_hold_the_ngrams_of_the_whole_text():
+    letters = L._letters()
+    for text in ("the cat  and 12 the dog", "a\0b  c", "", "x", "日本 語", "  -- a", "\0", "no" * 40):
+        whole, _, has = L.ngram_features([text], letters)
+        for size in (1, 2, 3, 7, 1000):
+            parts = list(L.sliced_features(text, letters, size))
+            ids = np.concatenate([i.ravel() for i, _ in parts]) if parts else np.zeros(0, int)
+            assert (np.bincount(ids, minlength=L.DIM + 1)[: L.DIM] == np.bincount(whole.ravel(), minlength=L.DIM + 1)[: L.DIM]).all()
+            assert any(h for _, h in parts) == bool(has[0])
+
+
+def test_memory_does_not_grow_with_one_text():
+    model = L.train([("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de")] * 30)
+    text = "der hund und die katze \n" * 700_000
+    tracemalloc.start()
+    p, _ = model.scores([text], L._letters())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert p[0].argmax() == 0 and peak < 100e6
+    assert np.allclose(p, model.scores([text[: 24 * 100]], L._letters())[0], atol=1e-2)
+
+
+def test_scores_against_a_plain_recomputation():
+    model = L.train([("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de"), ("le chat et le chien " * 3, "fr")] * 30)
+    for text in ("Der Hund, der (42) the!", "le  chat", "É"):
+        x = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+        x = re.sub(" +", " ", x)
+        grams = [x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1) if x[i : i + n] != " "]
+        total = np.zeros(3)
+        for g in grams:
+            h = 0
+            for place, c in enumerate(g):
+                v = ord(c) * 0x9E3779B97F4A7C15
+                h = v if place == 0 else ((h ^ (0x51 if place == 1 else 0x7F)) * (0xC2B2AE3D27D4EB4F if place == 1 else 0x165667B19E3779F9) + v)
+                h &= 2**64 - 1
+            feature = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)) >> 49
+            total += model.table[feature]
+        z = (total / len(grams) + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert np.allclose(model.scores([text], L._letters())[0][0], e / e.sum(), atol=1e-6)
