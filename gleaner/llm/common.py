@@ -62,6 +62,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows with a key of each row, and its column's name.
+
+    The key is the id; only where rows share an id, or have none, is it a number written with the
+    rows, so that they are documents of their own.
+    """
+    key = free_name(docs, "row_key")
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(key, F.col(id_col)), key
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def staged_paths() -> list[str]:
     """Folders of all staged tables that are still there, oldest first."""
     return list(_staged)

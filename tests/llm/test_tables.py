@@ -74,9 +74,9 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).collect() == []
 
 
-def components(texts):
+def components(texts, k=3, percent=90):
     lower = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for i, t in texts}
-    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set() for i, w in lower.items()}
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for i, w in lower.items()}
     root = {i: i for i in sets}
 
     def find(i):
@@ -88,7 +88,7 @@ def components(texts):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -108,8 +108,28 @@ def test_ngram_join(spark):
             n += 1
     texts += [(n + i, t) for i, t in enumerate([None, "", " \t", "One", "one", "one two", "ONE  two", "one two three", "É x y", "é x y", texts[0][1].upper(), "a a a a a a"])]
     df = docs(spark, [(*t, "s") for t in texts])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
-    assert got == components(texts)
+    for k, percent in ((3, 90), (5, 80), (1, 60)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, k, percent).collect()}
+        assert got == components(texts, k, percent)
+
+
+def test_ngram_join_merges_what_leaders_leave_open(spark, monkeypatch):
+    """Without leaders every pair goes through the heap."""
+    rng = random.Random(4)
+    words, texts = [f"w{i}" for i in range(90)], []
+    for n in range(60):
+        base = [rng.choice(words) for _ in range(120)] if n % 4 == 0 else base
+        texts.append((n, " ".join(rng.choice(words) if rng.random() < 0.015 else w for w in base)))
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, [(*t, "s") for t in texts]), 2, 80).collect()}
+    assert got == components(texts, 2, 80) and len({c for _, c in got.values()}) < 60
+
+
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(7, a, "s"), (7, b, "s"), (3, f"{b} c", "s"), (None, a, "s"), (9, "", "s"), (9, None, "s")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, rows)).collect())
+    assert got == [(0, 58, 7), (3, 59, 3), (7, 58, 3), (7, 58, 7), (9, 0, 9), (9, 0, 9)]
 
 
 def test_ngram_join_of_nothing(spark):
