@@ -4,8 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a table that is written as Pa
 back as the next one's docs; all but the last return the columns of ``documents``. What a stage
 has staged for itself is deleted when the next stage begins, unless that one's docs still read it.
 
-Copies, near copies and mixture are decided for each row, so rows that repeat a document leave one
-of them, and rows that share an id (or have none) with different texts are documents of their own.
+Defined results. Copies, near copies and mixture are decided for each row, so rows that repeat a
+document leave one of them, and rows that share an id (or have none) with different texts are
+documents of their own. Null, empty and letterless texts are in no language and go with the first
+stage; alone, the second keeps one empty text, the third every one (they have no shingles), and the
+fourth none (it takes no words of them). Ties between copies go to the smaller id. Very long texts
+are whole everywhere. An empty table gives an empty result, and columns beyond those of
+``documents`` come along under any name.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, language_id, mixing, ngram_join, packing, queries
-from gleaner.llm.common import drop, release, stage, staged_paths, table
+from gleaner.llm.common import drop, free_name, keyed, release, stage, staged_paths, table
 
 #: A calibrated probability of its best language below which a text is in none of them.
 LEAST_SCORE = 0.4
+#: Near copies: words of a shingle, and the Jaccard similarity in percent from which documents link.
+WORDS, PERCENT = 5, 80
 
 
 _left: list[str] = []
@@ -40,51 +47,45 @@ def _step(function):
     return run_step
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row: their id, or where rows share an id or have none, a number written with the row."""
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn("row", F.col("doc_id"))
-    return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-
-
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not in ``dropped``: the smaller side of the decision moves."""
-    return rows.join(dropped.select("row"), "row", "left_anti").select(*(c for c in rows.columns if c != "row"))
+    return rows.join(dropped.select(key), key, "left_anti").select(*(c for c in rows.columns if c != key))
 
 
 @_step
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is in no language: no letter, or no language probable enough."""
     model = language_id.fit(docs, ~language_id.held_out())
-    judged = language_id.predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    language, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    judged = language_id.predict(docs, model, docs.columns, answer=(language, score))
+    return judged.where((F.col(language) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 @_step
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that is equal but for white space."""
-    rows = _rows(docs)
-    return _without(rows, exact_dedup.dedup_exact(rows, row_col="row").where("NOT kept"))
+    rows, key = keyed(docs)
+    return _without(rows, exact_dedup.dedup_exact(rows, row_col=key).where("NOT kept"), key)
 
 
 @_step
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group linked by the n-gram Jaccard join."""
-    rows = _rows(docs)
-    found = ngram_join.jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
-    first = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    return _without(rows, found.join(first.select(F.col("first.row").alias("row")), "row", "left_anti"))
+    rows, key = keyed(docs)
+    found = ngram_join.linked_rows(rows, WORDS, PERCENT, key)
+    first = found.join(rows.select(key, "doc_id"), key).groupBy("component").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    return _without(rows, found.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_anti"), key)
 
 
 @_step
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole copy."""
-    rows = _rows(docs)
-    copies = mixing.mix(rows, row_col="row").where("size > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
+    rows, key = keyed(docs)
+    copies = free_name(rows, "copies")
+    taken = mixing.mix(rows, row_col=key).where("size > 0").select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies))
     return (
-        rows.join(copies.where("copies > 0"), "row")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+        rows.join(taken.where(F.col(copies) > 0), key)
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies)
     )
 
 

@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
     assert sorted(seen["exact_dedup"].doc_id) == sorted(kept)
     from test_tables import components as plain
 
-    links = plain(list(zip(seen["exact_dedup"].doc_id, seen["exact_dedup"].text, strict=True)))
+    links = plain(list(zip(seen["exact_dedup"].doc_id, seen["exact_dedup"].text, strict=True)), k=5, percent=80)
     assert sorted(seen["ngram_join"].doc_id) == sorted({c for _, c in links.values()})
     taken = mixing.mix(spark.createDataFrame(seen["ngram_join"])).toPandas()
     copies = {d: int(t / s + 0.5) for d, t, s in zip(taken.doc_id, taken.taken, taken["size"], strict=True) if s}
@@ -59,3 +59,28 @@ def test_rows_that_share_an_id(spark):
     two = stage(spark.createDataFrame([(5, " ".join(["w"] * n), "en", "s", 0) for n in (640, 1280)] + [(6, " ".join(["v"] * 1280), "en", "s", 0)], docs.schema), "two")
     mixed = [len(r.text.split()) for r in C.mix_sources(spark, two, "").collect()]
     assert {640, 1280} == set(mixed) and len(mixed) <= 2 * 3 and abs(sum(mixed) - 1.5 * 3200) <= 1280
+
+
+def test_empty_table_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy int, copies int, row_key int, score int, lang_pred string, component int, size int"
+    for name, step in C.STAGES:
+        assert stage(step(spark, spark.createDataFrame([], schema), ""), name).count() == 0
+    text = " ".join(f"the and of w{i}" for i in range(100))
+    rows = [(1, text, "en"), (2, text, "en"), (3, text.replace("w7 ", "x "), "en"), (4, " ".join(f"der und die {i}x" for i in range(90)), "de")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t), 1, 2, 3, 4, "clash", 5, 6) for i, t, g in rows], schema)
+    for (name, step), left in zip(C.STAGES[:-1], ({1, 2, 3, 4}, {1, 3, 4}, {1, 4}, {1, 4}), strict=True):
+        docs = stage(step(spark, docs, ""), name)
+        got = docs.collect()
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")] and {r["doc_id"] for r in got} == left
+        assert all(tuple(r)[5:] == (1, 2, 3, 4, "clash", 5, 6) for r in got)
+    assert C.STAGES[-1][1](spark, docs, "").count() >= 2
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    long, near = " ".join(words), " ".join([*words[:-9], "other"])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, near, "en", "s", 0), (2, long, "en", "s", 0), (3, f"{long} ", "en", "s", 0), (4, "the and of a short text", "en", "s", 0)], schema)
+    exact = stage(C.drop_exact_copies(spark, docs, ""), "exact_dedup")
+    assert {r["doc_id"] for r in exact.collect()} == {1, 3, 4}
+    assert {r["doc_id"] for r in C.drop_near_copies(spark, exact, "").collect()} == {1, 4}
