@@ -2,11 +2,14 @@
 
 Sampled splitters range-partition the normalised texts (``repartitionByRange`` samples them),
 each partition is sorted externally so that equal texts are neighbours, and runs of fully equal
-neighbours are reduced to the row that stays. The splitters order by (text, salt of the id), so
-a group of copies that holds a third of all rows is spread over many range partitions instead of
-one; its per-salt winners, a few slim rows a text, meet in a second step by digest. Splitters are
-prefixes of the texts, so what is sampled to the driver stays small however long texts are; the
-sort and the comparison of neighbours are over the whole texts.
+neighbours are reduced to the row that stays: that is where copies are found. Splitters look at a
+text's first ``SPLITTER`` code points and then at a hash, so that what is sampled to the driver
+stays small however long texts are, and texts that share a long beginning still part; the sort and
+the comparison of neighbours are over the whole texts.
+
+A text whose copies would fill a good part of a range partition, or many of them, is seen in a
+sample of the rows. Only the copies of such hot texts get a salt, are dealt over many ranges, and
+their per-salt winners, a few slim rows a text, meet in a second step by digest.
 
 Defined results: null text counts as empty; rows with equal id and text are one group in which
 one row stays; an empty table gives an empty result; other columns are ignored.
@@ -21,8 +24,41 @@ from .common import WHITE_SPACE, partitions, stage
 
 #: Code points of a text that splitters look at.
 SPLITTER = 64
-#: Parts that one text's copies are dealt to at least.
-SALTS = 256
+#: Parts that a hot text's copies are dealt to at least; rows that are sampled to find such texts.
+SALTS, SAMPLE = 256, 100_000
+#: A text is hot if this many of the sampled rows, and half a partition's share, are its copies.
+HOT = 64
+
+
+def _hot_marks(rows: DataFrame, n: int) -> list[int]:
+    """Hashes of the texts that fill half a partition's share of a sample: fewer than 2 n."""
+    total = rows.count()
+    least = 1 << 30 if total <= SAMPLE else int(SAMPLE / total * (1 << 30)) + 1
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < least)
+    seen = sample.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))
+    return [r["mark"] for r in seen.where(F.col("copies") > max(HOT, min(total, SAMPLE) // (2 * n))).select("mark").collect()]
+
+
+def sorted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The content sort: per row its place in its run of equal neighbours, and the run's first row and length.
+
+    ``salt`` is 0 but for copies of hot texts, which form a run for each salt.
+    """
+    key = [row_col] if row_col else []
+    n = partitions(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(*key, F.col(id_col).alias("doc_id"), F.translate(text, WHITE_SPACE, "").alias("norm"), F.length(text).alias("n_chars")).withColumn("mark", F.xxhash64("norm"))
+    hot = _hot_marks(rows, n)
+    salt = F.when(F.col("mark").isin(hot), F.pmod(F.xxhash64("doc_id", *key), F.lit(max(SALTS, n))) + 1).otherwise(0) if hot else F.lit(0)
+    sorted_rows = rows.withColumns({"salt": salt.cast("int"), "head": F.substring("norm", 1, SPLITTER)}).repartitionByRange(n, "head", "mark", "salt")
+    run = Window.partitionBy("head", "mark", "salt", "norm")
+    best = run.orderBy(F.desc("n_chars"), "doc_id", *key)
+    return sorted_rows.select(
+        *key, "doc_id", "salt", "n_chars",
+        F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"),
+        F.row_number().over(best).alias("place"), F.first("doc_id").over(best).alias("first_id"),
+        F.count(F.lit(1)).over(run).alias("copies"),
+    )
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -32,41 +68,21 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id, stays. ``row_col``: a key of each row, returned with its answer.
     """
     key = [row_col] if row_col else []
-    spark = docs.sparkSession
-    n = partitions(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        *key,
-        F.col(id_col).alias("doc_id"),
-        F.translate(text, WHITE_SPACE, "").alias("norm"),
-        F.length(text).alias("n_chars"),
-        F.pmod(F.xxhash64(F.col(id_col), *key), F.lit(max(SALTS, n))).cast("int").alias("salt"),
-    )
-    sorted_rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER)).repartitionByRange(n, "head", "salt")
-    run = Window.partitionBy("head", "norm", "salt")
-    slim = stage(
-        sorted_rows.select(
-            *key, "doc_id", "salt", "n_chars",
-            F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"),
-            F.row_number().over(run.orderBy(F.desc("n_chars"), "doc_id")).alias("place"),
-            F.count(F.lit(1)).over(run).alias("copies"),
-        ),
-        "exact",
-    )
+    slim = stage(sorted_runs(docs, id_col, text_col, row_col), "exact")
+
+    def answer(rows: DataFrame, keep_id, size, kept) -> DataFrame:
+        return rows.select(*key, "doc_id", keep_id.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+    done = answer(slim.where("salt = 0"), F.col("first_id"), F.col("copies"), F.col("place") == 1)
+    hot = slim.where("salt > 0")
     text_of = Window.partitionBy("sha")
-    winners = slim.where("place = 1").select(
+    winners = hot.where("place = 1").select(
         "sha", "salt",
         F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", F.col("salt").alias("of"))).over(text_of).alias("best"),
         F.sum("copies").over(text_of).alias("group_size"),
     )
-    return slim.join(winners, ["sha", "salt"]).select(
-        *key,
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        ((F.col("place") == 1) & (F.col("salt") == F.col("best.of"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    rest = answer(hot.join(winners, ["sha", "salt"]), F.col("best.doc_id"), F.col("group_size"), (F.col("place") == 1) & (F.col("salt") == F.col("best.of")))
+    return done.unionByName(rest)
 
 
 SQL = r"""

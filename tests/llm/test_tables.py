@@ -23,6 +23,17 @@ def test_hot_text_is_dealt_over_tasks(spark):
     rows = [(i, "same text", "s") for i in range(3000)] + [(5000 + i, f"other {i}", "s") for i in range(300)]
     got = exact_dedup.dedup_exact(docs(spark, rows)).collect()
     assert {r["group_size"] for r in got if r["doc_id"] < 5000} == {3000} and sum(r["kept"] for r in got) == 301
+    runs = exact_dedup.sorted_runs(docs(spark, rows)).collect()
+    assert max(r["copies"] for r in runs) < 100 and {r["salt"] for r in runs if r["doc_id"] >= 5000} == {0}
+    assert sum(r["kept"] and r["doc_id"] == 0 for r in got) == 1
+
+
+def test_copies_meet_as_neighbours(spark):
+    """The sort finds every pair; texts that differ only after their first words stay apart."""
+    rows = [(i, f"{'a long common beginning ' * 9}{i // 2}{' ' * (i % 2)}", "s") for i in range(2000)]
+    runs = exact_dedup.sorted_runs(docs(spark, rows)).collect()
+    assert {r["copies"] for r in runs} == {2} and {r["salt"] for r in runs} == {0}
+    assert all((r["place"] == 1) == (r["doc_id"] % 2 == 1) and r["first_id"] == r["doc_id"] | 1 for r in runs)
 
 
 def test_mixing(spark):
