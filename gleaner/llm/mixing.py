@@ -5,8 +5,9 @@ size (water filling in closed form over the source table). Every slot of ``BLOCK
 point of the golden-ratio sequence; cumulative target shares map the point to a source, slots are
 ranked within their source, and rank r takes block r mod n of the source's shuffled word stream.
 
-Nothing is ordered in one task but the table of sources: ranks and word offsets are prefix sums
-over chunks (of 4096 slots, of 4096 hash ranges a source), so a hot source is spread out.
+Nothing is ordered in one task but the table of sources (a row each): ranks and word offsets are
+prefix sums over chunks (of 4096 slots, of 4096 hash ranges a source) and over groups of 4096
+chunks, so a hot source is spread out.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own,
 last; a null id is hashed as an empty one; repeated rows are documents of their own; an empty table gives an empty result. The order
@@ -18,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, stage
+from .common import WORD_PATTERN, partitions, stage
 
 #: Words of a block and of a slot.
 BLOCK = 64
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
+#: Slots that one task makes.
+SLOTS = 1 << 22
 #: 2**32 over the golden ratio, odd: slot times this, modulo 2**32, is the slot's point.
 GOLDEN, POINTS, CELLS, CHUNK = 2654435769, 1 << 32, 4096, 4096
 
@@ -54,14 +57,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceil
     return w.select("key", "source", "source_size", "target", F.coalesce(F.lag("high").over(by_rank), F.lit(0)).alias("low"), "high", "budget")
 
 
+def point_of(slot: Column) -> Column:
+    """The slot's point of the sequence: slot times ``GOLDEN`` modulo ``POINTS``, by halves so that nothing overflows."""
+    low, high = slot.bitwiseAND(0xFFFF), F.shiftright(slot, 16).bitwiseAND(0xFFFF)
+    return (low * GOLDEN + (high * GOLDEN).bitwiseAND(0xFFFF) * 0x10000).bitwiseAND(POINTS - 1)
+
+
+def _before(chunks: DataFrame, place: str, count: str) -> DataFrame:
+    """``key, place, before``: what a source's earlier chunks hold, ordered group by group."""
+    grouped = chunks.withColumn("group", F.floor(F.col(place) / CHUNK))
+    groups = grouped.groupBy("key", "group").agg(F.sum(count).alias("sum"))
+    earlier = groups.select("key", "group", (F.sum("sum").over(Window.partitionBy("key").orderBy("group")) - F.col("sum")).alias("earlier"))
+    within = F.sum(count).over(Window.partitionBy("key", "group").orderBy(place)) - F.col(count)
+    return grouped.select("key", "group", place, within.alias("within")).join(earlier, ["key", "group"]).select("key", place, (F.col("earlier") + F.col("within")).alias("before"))
+
+
 def schedule(targets: DataFrame, block: int = BLOCK, ceiling: int = CEILING) -> DataFrame:
     """One row per slot: ``slot, key, rank, block, pass``; a block is taken ``ceiling`` times at most."""
+    spark = targets.sparkSession
+    n = targets.agg(F.ceil(F.max("budget") / block).cast("long").alias("n")).first()["n"] or 0
     slots = (
-        targets.agg(F.ceil(F.max("budget") / block).alias("n")).where("n > 0")
-        .select(F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"), "n")
-        .repartition("chunk")
-        .select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)).alias("slot"))
-        .withColumn("point", (F.col("slot") % POINTS * GOLDEN) % POINTS)
+        spark.range(0, n, 1, max(partitions(spark), n // SLOTS)).select(F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK).alias("chunk"), point_of(F.col("id")).alias("point"))
         .withColumn("cell", F.floor(F.col("point") / (POINTS // CELLS)))
     )
     cells = targets.where("high > low").select(
@@ -71,10 +87,7 @@ def schedule(targets: DataFrame, block: int = BLOCK, ceiling: int = CEILING) ->
     # Sizes of exploded sequences are underestimated: without the hints these sides would be broadcast.
     drawn = slots.join(cells.hint("merge"), "cell").where("point >= low AND point < high").select("slot", "chunk", "key", "blocks")
     per_chunk = drawn.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("c"))
-    before = per_chunk.select(
-        "key", "chunk", (F.sum("c").over(Window.partitionBy("key").orderBy("chunk")) - F.col("c")).alias("before")
-    )
-    ranked = drawn.join(before.hint("merge"), ["key", "chunk"]).withColumn(
+    ranked = drawn.join(_before(per_chunk, "chunk", "c").hint("merge"), ["key", "chunk"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1
     )
     return ranked.where(F.col("rank") < F.col("blocks") * ceiling).select(

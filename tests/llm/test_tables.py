@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import exact_dedup, mixing, ngram_join, url_filter
 
 
@@ -153,3 +155,17 @@ def test_mixing_keeps_rows_without_id(spark):
     got = mixing.mix(docs(spark, [(None, "w " * 640, "s"), (None, None, "s"), (1, "w " * 640, "s")])).collect()
     assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 0), (0, 640), (1, 640)]
     assert sum(r["taken"] for r in got) == 1920 and {r["source_size"] for r in got} == {1280}
+
+
+def test_points_of_far_slots(spark):
+    """Beyond 2**63 / GOLDEN slots, and beyond 2**32 of them, points are what whole numbers give."""
+    slots = [0, 1, 65_535, 65_536, 3_474_701_533, 3_474_701_534, 4_200_000_000, 2**32 - 1, 2**32 + 5, 5_000_000_000, 2**45 + 12_345]
+    got = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", mixing.point_of(F.col("slot")).alias("p")).collect()
+    assert [(r["slot"], r["p"]) for r in got] == [(s, s * mixing.GOLDEN % 2**32) for s in slots]
+
+
+def test_offsets_over_groups_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    rows = [(k, i, (i * 7 + k) % 5) for k in range(2) for i in range(100) if i % 3]
+    got = {(r["key"], r["place"]): r["before"] for r in mixing._before(spark.createDataFrame(rows, "key long, place long, c long"), "place", "c").collect()}
+    assert got == {(k, i): sum(c for q, j, c in rows if q == k and j < i) for k, i, _ in rows}
