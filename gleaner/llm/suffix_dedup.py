@@ -14,18 +14,23 @@ decided on bytes.
 
 Merge sort. A task sorts the suffixes of its documents into a run, keeps one of each group of
 equal suffixes (their members are repeats already), front-codes the run (common prefix length and
-tail) and cuts it at sampled splitters. The parts are combined by a loser tree over the runs, whose
+tail) and cuts it at splitters sampled from the repeated cores, into as many parts as keep each at
+about ``PART_BYTES``. The parts are combined by a loser tree over the runs, whose
 contenders carry their common prefix with the last output: it never compares known prefixes, and
 yields the common prefixes of the merged order. Within a group that shares a core, the windows'
 right parts are read off these, the left parts off hashes of the bytes before.
 
 No key is a hot task: a run sends each distinct suffix once, so copies do not pile up; a core of
 very many distinct surroundings (a passage pasted everywhere) is dealt out three ways, by what the
-windows near its start, around it and near its end must have in common (see ``MODES``).
+windows near its start, around it and near its end must have in common (see ``MODES``). What is
+left to one task are the distinct surroundings of a hot core that agree in 4 bytes before and 54
+from its start on; such a group is looked at one window offset at a time, at about ``REACH`` bytes
+and one Python tuple an entry.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes keep everything; rows
-that repeat an id are documents of their own, and copies of each other if their texts are equal;
-an empty table gives an empty result; other columns are ignored.
+that share an id, or have none, are documents of their own, and copies of each other if their
+texts are equal; an empty table gives an empty result; other columns are ignored. Texts of any
+length are read ``SLICE`` bytes at a time for their anchors, which are those of the whole text.
 """
 
 from __future__ import annotations
@@ -39,19 +44,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, stage
+from .common import drop, keyed, partitions, stage, trim
 from .shingles import mix64, row_chunks, text_buffers
 
 LENGTH, CORE = 200, 50
 REACH = LENGTH - CORE  # bytes before an anchor that a window can hold
 #: Anchors of one core beyond which it is dealt out by ``MODES``.
 HOT = 50_000
-#: Bytes of suffixes in a run at most; splitter samples collected at most.
-RUN_BYTES, SAMPLES = 48 << 20, 20_000
+#: Bytes of suffixes in a run at most, and about those of a part; splitter samples collected at most.
+RUN_BYTES, PART_BYTES, SAMPLES = 48 << 20, 48 << 20, 20_000
 #: Entries of one core up to which pairs are looked at one by one.
 PAIRWISE = 64
 #: Bytes of texts whose anchors are found together: what stays in a core's cache.
 CHUNK = 1 << 18
+#: Bytes of one text whose anchors are found together.
+SLICE = 1 << 20
 #: Ways to deal out a hot core. Each holds the windows of some offsets of the anchor, needs their
 #: common bytes to be dealt by, and cuts suffixes (left, right) to what these windows hold:
 #: 1: at most 3 bytes left; 2: 4 or more left and 54 right; 3: 147 or more left.
@@ -64,6 +71,9 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n, w = len(data), LENGTH - CORE + 1
     if n < LENGTH:
         return np.zeros(0, np.int64)
+    if n > SLICE + LENGTH and len(offsets) == 2:
+        parts = [data[s : s + SLICE + LENGTH - 1] for s in range(0, n - LENGTH + 1, SLICE)]
+        return np.unique(np.concatenate([i * SLICE + anchors_of(p, np.array([0, len(p)])) for i, p in enumerate(parts)]))
     grams = np.ndarray((n - 7,), "<u8", data.tobytes(), strides=(1,))
     key = np.full(-(-n // w) * w + w, 2**64 - 1, np.uint64)
     hashed = grams * np.uint64(0x9E3779B97F4A7C15)  # the high bits, which order, depend on all 8 bytes
@@ -95,7 +105,7 @@ def core_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _read_anchors(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, at, core``: places of its anchors and hashes of their cores."""
+    """Per row ``row, at, core`` (places of its anchors and hashes of their cores), and some cores as samples."""
 
     def read(batches):
         for batch in batches:
@@ -107,16 +117,16 @@ def _read_anchors(docs: DataFrame) -> DataFrame:
                 at = anchors_of(chunk, rows)
                 cuts = np.searchsorted(at, rows).astype(np.int32)
                 places = at - np.repeat(rows[:-1], np.diff(cuts))
-                some = [at[k : k + 1] for k in range(int(part[0]) % 1024, len(at), 1024)]
-                samples = [chunk[int(a[0]) : int(a[0]) + CORE].tobytes() for a in some]
+                cores = core_hashes(chunk, at).view(np.int64)
+                samples = [{"core": int(cores[k]), "bytes": chunk[at[k] : at[k] + CORE].tobytes()} for k in range(int(part[0]) % 256, len(at), 256)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(places.astype(np.int32))),
-                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(core_hashes(chunk, at).view(np.int64))),
-                     pa.array([samples if r == 0 else [] for r in range(j - i)], pa.list_(pa.binary()))],
-                    ["doc_id", "at", "core", "samples"],
+                    [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(places)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(cores)),
+                     pa.array([samples if r == 0 else [] for r in range(j - i)], pa.list_(pa.struct([("core", pa.int64()), ("bytes", pa.binary())])))],
+                    ["row", "at", "core", "samples"],
                 )
+        trim()
 
-    return docs.mapInArrow(read, "doc_id long, at array<int>, core array<long>, samples array<binary>")
+    return docs.mapInArrow(read, "row long, at array<long>, core array<long>, samples array<struct<core:long,bytes:binary>>")
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -128,33 +138,33 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return n - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
 
 
-def code_run(run: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A sorted run of (key, left, doc, hash, at), front-coded and compressed."""
+def code_run(run: list[tuple[bytes, bytes, int, int]]) -> bytes:
+    """A sorted run of (key, left, row, at), front-coded and compressed."""
     shared, before = [], b""
     for key, *_ in run:
         shared.append(common(before, key))
         before = key
     head = np.array([len(run)], "<i8").tobytes()
     columns = [np.array(shared, np.uint8), np.array([len(r[0]) for r in run], np.uint8), np.array([len(r[1]) for r in run], np.uint8)]
-    columns += [np.array([r[2] for r in run], "<i8"), np.array([r[3] for r in run], "<i8"), np.array([r[4] for r in run], "<i4")]
+    columns += [np.array([r[2] for r in run], "<i8"), np.array([r[3] for r in run], "<i8")]
     raw = head + b"".join(c.tobytes() for c in columns) + b"".join(r[0][s:] for r, s in zip(run, shared, strict=True)) + b"".join(r[1] for r in run)
     return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def read_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
-    """(prefix shared with the one before, key, left, doc, hash, at) of a coded run, in order."""
+def read_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """(prefix shared with the one before, key, left, row, at) of a coded run, in order."""
     raw = pa.decompress(blob[8:], int(np.frombuffer(blob, "<i8", 1)[0]), "zstd", asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, columns = 8, []
-    for kind in ("u1", "u1", "u1", "<i8", "<i8", "<i4"):
+    for kind in ("u1", "u1", "u1", "<i8", "<i8"):
         columns.append(np.frombuffer(raw, kind, n, at).tolist())
         at += n * np.dtype(kind).itemsize
     left_at = at + sum(columns[1]) - sum(columns[0])
     key = b""
-    for shared, size, left, doc, mark, place in zip(*columns, strict=True):
+    for shared, size, left, row, place in zip(*columns, strict=True):
         key = key[:shared] + raw[at : at + size - shared]
         at += size - shared
-        yield shared, key, raw[left_at : left_at + left], doc, mark, place
+        yield shared, key, raw[left_at : left_at + left], row, place
         left_at += left
 
 
@@ -224,21 +234,21 @@ def agreement(group: list[tuple]) -> list[tuple[int, int]]:
         return out
     prefix = np.array([g[0] - 1 for g in group])
     rights, lefts = np.array([len(g[1]) - 1 for g in group]), np.array([len(g[2]) for g in group])
-    hashes = np.zeros((m, REACH + 1), np.uint64)
     padded = np.zeros((m, REACH), np.uint8)
     for i, g in enumerate(group):
         padded[i, : len(g[2])] = np.frombuffer(g[2], np.uint8)
+    hashed = np.zeros(m, np.uint64)  # of the o bytes before each
+    most_left, most_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
     with np.errstate(over="ignore"):
-        for o in range(REACH):
-            hashes[:, o + 1] = mix64(hashes[:, o] * np.uint64(3) + padded[:, o] + np.uint64(1))
-        most_left, most_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
         for o in range(REACH + 1):
+            if o:
+                hashed = mix64(hashed * np.uint64(3) + padded[:, o - 1] + np.uint64(1))
             need = LENGTH - o
             able = np.flatnonzero((lefts >= o) & (rights >= need))
             if len(able) < 2:
                 continue
             cls = np.cumsum(prefix < need)[able].astype(np.uint64)
-            key = mix64(hashes[able, o] + cls * np.uint64(0x9E3779B97F4A7C15))
+            key = mix64(hashed[able] + cls * np.uint64(0x9E3779B97F4A7C15))
             order = np.argsort(key)
             same = key[order][1:] == key[order][:-1]
             twin = np.zeros(len(able), bool)
@@ -251,10 +261,10 @@ def agreement(group: list[tuple]) -> list[tuple[int, int]]:
 def _make_runs(splitters: list[bytes], parts: int):
     """Texts with their anchors to coded parts of sorted runs, and repeats found inside a run."""
 
-    def flush(entries: list[tuple[bytes, bytes, int, int, int]]):
+    def flush(entries: list[tuple[bytes, bytes, int, int]]):
         entries.sort()
         by_part: dict[int, list] = {}
-        spans: list[tuple[int, int, int, int]] = []
+        spans: list[tuple[int, int, int]] = []
         i = 0
         while i < len(entries):
             key, left, *_ = entries[i]
@@ -262,7 +272,7 @@ def _make_runs(splitters: list[bytes], parts: int):
             while j < len(entries) and entries[j][0] == key and entries[j][1] == left:
                 j += 1
             if j > i + 1 and len(key) - 1 + len(left) >= LENGTH:
-                spans += [(d, h, at - len(left), at + len(key) - 1) for _, _, d, h, at in entries[i:j]]
+                spans += [(row, at - len(left), at + len(key) - 1) for _, _, row, at in entries[i:j]]
             mode = key[0]
             if mode == 0:
                 part = bisect_right(splitters, key[1 : 1 + CORE])
@@ -270,59 +280,57 @@ def _make_runs(splitters: list[bytes], parts: int):
                 by = {1: key[1 : 1 + LENGTH - 3], 2: key[1 : 5 + CORE] + left[:4], 3: key[1 : 1 + CORE] + left[: REACH - 3]}[mode]
                 part = int.from_bytes(hashlib.blake2b(by, digest_size=8).digest(), "big") % parts
             # One of equal entries stands for all; if they are repeats already it needs no answer.
-            by_part.setdefault(part, []).append((key, left, *entries[i][2:4], entries[i][4] if j == i + 1 else -1))
+            by_part.setdefault(part, []).append((key, left, entries[i][2], entries[i][3] if j == i + 1 else -1))
             i = j
         n, blobs = len(by_part), [code_run(run) for run in by_part.values()]
         none = [None] * n
         yield pa.RecordBatch.from_arrays(
             [pa.array([*by_part, *[None] * len(spans)], pa.int32()), pa.array([*blobs, *[None] * len(spans)], pa.binary()),
-             *(pa.array([*none, *[s[k] for s in spans]], pa.int64()) for k in range(4))],
-            ["part", "run", "doc_id", "mark", "start", "end"],
+             *(pa.array([*none, *[s[k] for s in spans]], pa.int64()) for k in range(3))],
+            ["part", "run", "row", "start", "end"],
         )
 
     def make(batches):
         entries, size = [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            body = data.tobytes()
-            docs, marks, places = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
-            for r, (doc, mark) in enumerate(zip(docs, marks, strict=True)):
+            body = memoryview(data)
+            rows, places = batch.column(0).to_pylist(), batch.column(2)
+            for r, row in enumerate(rows):
                 b, e = int(offsets[r]), int(offsets[r + 1])
-                seen = set()
-                for place in places[r].as_py():
+                for place in places[r].values.to_numpy().tolist():
                     at, hot = place >> 1, place & 1
-                    if place in seen or at + CORE > e - b:
-                        continue
-                    seen.add(place)
-                    right = body[b + at : min(b + at + LENGTH, e)]
-                    left = body[max(b, b + at - REACH) : b + at][::-1]
+                    right = bytes(body[b + at : min(b + at + LENGTH, e)])
+                    left = bytes(body[max(b, b + at - REACH) : b + at])[::-1]
                     if not hot:
-                        entries.append((b"\0" + right, left, doc, mark, at))
+                        entries.append((b"\0" + right, left, row, at))
                         size += len(right) + len(left)
-                        continue
-                    for mode, (most_left, most_right) in MODES.items():
-                        if (mode == 1 and len(right) < LENGTH - 3) or (mode == 2 and (len(left) < 4 or len(right) < CORE + 4)) or (mode == 3 and len(left) < REACH - 3):
-                            continue
-                        entries.append((bytes([mode]) + right[:most_right], left[:most_left], doc, mark, at))
-                        size += len(right) + len(left)
-                if size > RUN_BYTES:
-                    yield from flush(entries)
-                    entries, size = [], 0
+                    else:
+                        for mode, (most_left, most_right) in MODES.items():
+                            if (mode == 1 and len(right) < LENGTH - 3) or (mode == 2 and (len(left) < 4 or len(right) < CORE + 4)) or (mode == 3 and len(left) < REACH - 3):
+                                continue
+                            entries.append((bytes([mode]) + right[:most_right], left[:most_left], row, at))
+                            size += len(right) + len(left)
+                    if size > RUN_BYTES:
+                        yield from flush(entries)
+                        entries, size = [], 0
         if entries:
             yield from flush(entries)
+        del entries
+        trim()
 
     return make
 
 
 def _merge_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [read_run(blob.as_py()) for batch in batches for blob in batch.column("run")]
-    spans: list[tuple[int, int, int, int]] = []
+    spans: list[tuple[int, int, int]] = []
 
     def close(group: list[tuple]) -> None:
         if len(group) > 1:
-            for (_, _, _, doc, mark, at), (left, right) in zip(group, agreement(group), strict=True):
+            for (_, _, _, row, at), (left, right) in zip(group, agreement(group), strict=True):
                 if right and at >= 0:
-                    spans.append((doc, mark, at - left, at + right))
+                    spans.append((row, at - left, at + right))
 
     group: list[tuple] = []
     for entry in merge_runs(runs):
@@ -331,50 +339,52 @@ def _merge_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
             group = []
         group.append(entry)
     close(group)
-    columns = list(zip(*spans, strict=True)) or [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "mark", "start", "end"])
+    columns = list(zip(*spans, strict=True)) or [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "end"])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """``doc_id, mark, start, end`` (bytes): spans that repeat; texts: ``doc_id, text, mark``."""
+    """``row, start, end`` (bytes): spans that repeat; texts: ``row, text``, row being each one's own."""
     spark = texts.sparkSession
-    parts = 2 * partitions(spark)
-    found = stage(_read_anchors(texts.select("doc_id", "text")), "anchors")
-    every = found.select("doc_id", F.explode(F.arrays_zip("at", "core")).alias("a")).select("doc_id", "a.at", "a.core")
+    found = stage(_read_anchors(texts.select("row", "text")), "anchors")
+    every = found.select("row", F.explode(F.arrays_zip("at", "core")).alias("a")).select("row", "a.at", "a.core")
     # Staged, so that both sides of the join below are plain exchanges and a hot core is split.
-    counts = stage(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", (F.col("n") > HOT).cast("int").alias("hot")), "cores")
-    repeated = every.join(counts, "core").groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("hot")).alias("places"))
+    counts = stage(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+    entries = counts.agg(F.sum(F.when(F.col("n") > HOT, F.col("n") * len(MODES)).otherwise(F.col("n")))).first()[0] or 0
+    parts = max(2 * partitions(spark), entries * (LENGTH + REACH) // PART_BYTES)
+    repeated = every.join(counts, "core").groupBy("row").agg(F.collect_list(F.col("at") * 2 + (F.col("n") > HOT).cast("long")).alias("places"))
     runs = stage(
-        texts.join(repeated, "doc_id").select("doc_id", "text", "mark", "places")
-        .mapInArrow(_make_runs(_splitters(found, parts), parts), "part int, run binary, doc_id long, mark long, start long, end long"),
+        texts.join(repeated, "row").select("row", "text", "places")
+        .mapInArrow(_make_runs(_splitters(found, counts, parts), parts), "part int, run binary, row long, start long, end long"),
         "runs",
     )
     drop(found, counts)
-    merged = runs.where("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge_part, "doc_id long, mark long, start long, end long")
-    spans = stage(runs.where("run IS NULL").select("doc_id", "mark", "start", "end").unionByName(merged), "spans")
+    merged = runs.where("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge_part, "row long, start long, end long")
+    spans = stage(runs.where("run IS NULL").select("row", "start", "end").unionByName(merged), "spans")
     drop(runs)
     return spans
 
 
-def _splitters(found: DataFrame, parts: int) -> list[bytes]:
-    """At most parts - 1 cores that cut the anchors' suffixes into parts of like size."""
-    samples = found.where(F.size("samples") > 0).select(F.explode("samples").alias("s"))
+def _splitters(found: DataFrame, counts: DataFrame, parts: int) -> list[bytes]:
+    """At most parts - 1 cores that cut the suffixes of repeated cores into parts of like size."""
+    samples = found.where(F.size("samples") > 0).select(F.explode("samples").alias("s")).select("s.core", "s.bytes")
+    samples = samples.join(counts.where(F.col("n") <= HOT), "core", "left_semi")
     share = min(1.0, SAMPLES / max(1, samples.count()))
-    few = samples.where(F.pmod(F.xxhash64("s"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(2 * SAMPLES).collect()
-    cores = sorted(bytes(r["s"]) for r in few)
+    few = samples.where(F.pmod(F.xxhash64("bytes"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("bytes").limit(2 * SAMPLES).collect()
+    cores = sorted(bytes(r["bytes"]) for r in few)
     return sorted({cores[len(cores) * k // parts] for k in range(1, parts)}) if cores else []
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    spans = repeated_spans(rows).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows, key = keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = rows.withColumnRenamed(key, "row")
+    spans = repeated_spans(rows.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def cut(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            body = data.tobytes()
+            body = memoryview(data)
             out: list[list] = [[], [], [], []]
             for r, spans in enumerate(batch.column(2).to_pylist()):
                 text = body[int(offsets[r]) : int(offsets[r + 1])]
@@ -386,9 +396,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for column, value in zip(out, (len(text), removed, n, kept.hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        trim()
 
     return (
-        rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+        rows.join(spans, "row", "left").select("doc_id", "text", "spans")
         .mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 

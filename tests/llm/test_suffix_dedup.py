@@ -75,10 +75,11 @@ def test_empty_and_repeated_rows(spark):
 
 def test_loser_tree_merges_with_prefixes():
     rng = random.Random(1)
-    runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9))), b"l", r, 0, i) for i in range(rng.randint(0, 40))) for r in range(7)]
+    runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9))), b"l", r, 2**33 + i) for i in range(rng.randint(0, 40))) for r in range(7)]
     merged = list(S.merge_runs([S.read_run(S.code_run(r)) for r in runs]))
     keys = [m[1] for m in merged]
     assert keys == sorted(e[0] for r in runs for e in r)
+    assert sorted(m[-1] for m in merged) == sorted(e[3] for r in runs for e in r)
     assert [m[0] for m in merged] == [S.common(a, b) for a, b in zip([b"", *keys], keys, strict=False)]
 
 
@@ -91,3 +92,29 @@ def test_equal_windows_have_equal_anchors():
         at = S.anchors_of(data, np.array([0, len(data)]))
         places.append({int(a) - before for a in at if 0 <= a - before <= S.REACH})
     assert places[0] & places[1]
+
+
+def test_anchors_of_a_long_text_are_read_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.integers(97, 100, 9000, dtype=np.uint8), np.full(3000, 97, np.uint8), rng.integers(0, 255, 5000, dtype=np.uint8)])
+    whole = S.anchors_of(data, np.array([0, len(data)]))
+    for size in (50, 1000, 4096):
+        monkeypatch.setattr(S, "SLICE", size)
+        assert S.anchors_of(data, np.array([0, len(data)])).tolist() == whole.tolist()
+    monkeypatch.setattr(S, "SLICE", 700)
+    texts = [*corpus(6, 20), " ".join(t or "" for t in corpus(6, 20))]
+    assert run(spark, texts) == brute(texts)
+
+
+def test_rows_without_id_or_of_one_id(spark):
+    text = corpus(5)[1] * 2
+    rows = [(None, text), (3, f"other {text}"), (None, "z" * 150), (8, "zz"), (8, text[:400])]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.remove_repeats(got).collect())
+    assert got == sorted(brute([t for _, t in rows])) and sum(r[1] > 0 for r in got) == 3
+
+
+def test_parts_follow_the_bytes_of_repeats(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 1 << 12)
+    texts = corpus(7)
+    assert run(spark, texts) == brute(texts)
