@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, mixing, ngram_join, url_filter
@@ -169,3 +170,45 @@ def test_offsets_over_groups_of_chunks(spark, monkeypatch):
     rows = [(k, i, (i * 7 + k) % 5) for k in range(2) for i in range(100) if i % 3]
     got = {(r["key"], r["place"]): r["before"] for r in mixing._before(spark.createDataFrame(rows, "key long, place long, c long"), "place", "c").collect()}
     assert got == {(k, i): sum(c for q, j, c in rows if q == k and j < i) for k, i, _ in rows}
+
+
+def test_probability_above_a_bound(spark):
+    """The continued fraction against sums of the density."""
+    pairs = [(0.3, 4.0), (1.0, 1.0), (2.5, 0.7), (30.0, 20.0), (600.0, 400.0), (5.0, 995.0), (400.0, 380.0), (0.98, 0.02)]
+    for bound in (0.5, 0.3):
+        got = {(r["a"], r["b"]): r["above"] for r in url_filter.beta_above(spark.createDataFrame(pairs, "a double, b double"), bound).collect()}
+        for a, b in pairs:
+            # Substituting x = t**8 / (t**8 + (1 - t)**8) tames the ends of the density.
+            t = (np.arange(400_000) + 0.5) / 400_000
+            low, high = t**8, (1 - t) ** 8
+            x = low / (low + high)
+            log = a * np.log(x) + b * np.log(high / (low + high)) + np.log(8) - np.log(t) - np.log(1 - t)
+            w = np.exp(log - log.max())
+            assert abs(got[a, b] - w[x > bound].sum() / w.sum()) < 2e-3, (a, b)
+
+
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "www.example.org": ("example.org", "org"), "user@shop.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+        "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "x.github.io.": ("x.github.io", "github.io"), "co.uk": ("co.uk", "co.uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_filter.domain_of(F.col("host"))).collect()} == hosts
+
+
+def test_reputation_decides_as_in_sql(spark):
+    """A host that rules mostly block is blocked, and so is an unseen one of a bad domain; others are not."""
+    rng = random.Random(5)
+    urls = [f"http://h{i % 4}.bad.com/de/{i}" for i in range(400)] + [f"http://h{i % 9}.good{i % 7}.com/fr/{i}" for i in range(700)] + [f"http://h{i % 3}.mixed.com/{rng.choice(['de', 'fr'])}/{i}" for i in range(60)]
+    urls += ["http://h1.bad.com/x", "http://new.bad.com/x", "http://good1.com/x", "http://h0.mixed.com/x", "http://u:p@h2.bad.com:8080/q", "http://10.1.2.3/x", "http://a.b.co.uk/x", "http://[::1]/x", "none", None]
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(urls)), "url": pd.Series(urls, dtype=object)}))
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict, score FROM ({url_filter.SQL}) ORDER BY page_id").fetchall()
+    got = [tuple(r) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all((g[5] is None) == (w[5] is None) and abs((g[5] or 0) - (w[5] or 0)) < 2e-6 for g, w in zip(got, want, strict=True))
+    verdict = dict(zip(urls, (g[4] for g in got), strict=True))
+    assert [verdict[u] for u in urls[-10:]] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow"]
