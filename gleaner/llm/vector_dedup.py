@@ -5,15 +5,18 @@ the cell of their nearest centroid (spherical k-means, fitted on a bounded sampl
 exact, not approximate: two unit vectors at cosine >= t are at most 2 sin(acos(t) / 2) apart, so
 the partner of a vector can only live in a cell whose bisecting plane with the vector's own cell
 is that close; the vector visits those cells of higher number as a guest. So every pair at or
-above t meets exactly once, in the home cell of one of the two.
+above t meets exactly once, in the home cell of one of the two. Where one table of centroids
+would be long, each of its cells is cut once more by centroids of its own, and vectors visit these
+finer cells by the same rule.
 
 Cells are cut into blocks of ``BLOCK`` vectors and compared block against block, so no task holds
 more than two blocks whatever the size of a cell. A block pair returns link counts and a spanning
 forest of its links, never the pairs themselves.
 
 Defined results: rows whose label is null, or whose vector is null, empty, zero or holds null or
-non-finite components, link with nothing and stay; vectors of unlike length do not link; repeated
-rows are vectors of their own; an empty table gives an empty result.
+non-finite components, link with nothing and stay; vectors of unlike length do not link; rows that
+share an id, or have none, are vectors of their own, whose component is named by its smallest id;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, stage
+from .common import components, drop, keyed, stage, trim
 
 THRESHOLD = 0.98
-#: Vectors that centroids are fitted on at most, vectors of a cell aimed at, cells at most.
-SAMPLE, CELL, MOST_CELLS = 20_000, 4096, 2048
+#: Vectors that centroids are fitted on (more where there are many cells), and bytes of them at most;
+#: vectors of a cell aimed at; cells beyond which they are cut in two steps.
+SAMPLE, SAMPLE_BYTES, CELL, ONE_LEVEL = 20_000, 64 << 20, 4096, 256
 BLOCK, ROUNDS = 1024, 8
 
 
@@ -87,44 +91,90 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7)
     return c
 
 
-def fit_cells(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids by dimension, on at most ``SAMPLE`` vectors each, chosen by a hash of the id."""
+class Cells:
+    """Centroids of one vector length, each with finer ones of its cell (itself alone, if there are none)."""
+
+    def __init__(self, coarse: np.ndarray, fine: list[np.ndarray]):
+        self.coarse, self.fine = coarse, fine
+        self.first = np.cumsum([0, *map(len, fine)])
+        self.gaps, self.fine_gaps = _gaps(coarse), [_gaps(f) for f in fine]
+
+    def visits(self, x: np.ndarray, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``x``, the cells they come to, and whether as guests."""
+        near, all_ = _within(x, self.coarse, self.gaps, apart)
+        all_ &= np.arange(len(self.coarse)) >= near[:, None]
+        for c in np.flatnonzero(all_.any(axis=0)):
+            rows = np.flatnonzero(all_[:, c])
+            if len(self.fine[c]) == 1:
+                yield rows, np.full(len(rows), self.first[c]), near[rows] != c
+                continue
+            finest, these = _within(x[rows], self.fine[c], self.fine_gaps[c], apart)
+            home = near[rows] == c
+            these &= ~home[:, None] | (np.arange(len(self.fine[c])) >= finest[:, None])
+            i, j = np.nonzero(these)
+            yield rows[i], self.first[c] + j, ~home[i] | (j != finest[i])
+
+
+def _gaps(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))
+
+
+def _within(x: np.ndarray, c: np.ndarray, gaps: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centroid, and the cells whose bisecting plane with it is within ``apart``."""
+    dots = x @ c.T
+    near = np.argmax(dots, axis=1)
+    return near, dots[np.arange(len(x)), near][:, None] - dots <= apart * gaps[near] + 1e-9
+
+
+def fit_cells(classes: DataFrame) -> dict[int, Cells]:
+    """Cells by vector length, on a sample chosen by a hash of the id; lengths of few vectors are one cell."""
     out = {}
     for row in classes.groupBy("dim").count().collect():  # one row per vector length
         n, dim = row["count"], row["dim"]
-        share = min(1.0, SAMPLE / n)
-        picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        rows = picked.select("vec_id", "unit").limit(2 * SAMPLE).collect()
-        x = np.array([np.frombuffer(r["unit"], np.float64) for r in sorted(rows, key=lambda r: r["vec_id"])])
-        out[dim] = spherical_kmeans(x, max(1, min(MOST_CELLS, math.ceil(n / CELL)))) if len(x) else np.eye(1, dim)
+        k = math.ceil(n / CELL)
+        if k == 1:
+            out[dim] = Cells(np.eye(1, dim), [np.eye(1, dim)])
+            continue
+        sample = min(max(SAMPLE, 8 * k), max(1, SAMPLE_BYTES // (8 * dim)))
+        picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)) + 1))
+        rows = picked.select("vec_id", "unit").limit(2 * sample).collect()
+        x = np.array([np.frombuffer(r["unit"], np.float64) for r in sorted(rows, key=lambda r: r["vec_id"])]).reshape(-1, dim)
+        if not len(x):
+            out[dim] = Cells(np.eye(1, dim), [np.eye(1, dim)])
+        elif k <= ONE_LEVEL:
+            c = spherical_kmeans(x, k)
+            out[dim] = Cells(c, [c[i : i + 1] for i in range(len(c))])
+        else:
+            c = spherical_kmeans(x, math.isqrt(k))
+            near = np.argmax(x @ c.T, axis=1)
+            members = [x[near == i] for i in range(len(c))]
+            out[dim] = Cells(c, [spherical_kmeans(m, max(1, round(k * len(m) / len(x)))) if len(m) > 1 else c[i : i + 1] for i, m in enumerate(members)])
     return out
 
 
-def _deal(classes: DataFrame, cells: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def _deal(classes: DataFrame, cells: dict[int, Cells], threshold: float) -> DataFrame:
     """Each class in its home cell and, as a guest, in every cell where a partner may live."""
     apart = 2 * math.sin(math.acos(threshold) / 2) + 1e-9
+    shared = classes.sparkSession.sparkContext.broadcast(cells)  # a few times SAMPLE_BYTES at most
 
     def assign(batches):
         for batch in batches:
-            rows: list[list] = [[], [], []]
-            dims = batch.column(2).to_pylist()
-            for dim in set(dims):
-                at = np.array([i for i, d in enumerate(dims) if d == dim])
-                x = np.array([np.frombuffer(batch.column(3)[int(i)].as_py(), np.float64) for i in at])
-                c = cells[dim]
-                dots = x @ c.T
-                home = np.argmax(dots, axis=1)
-                gaps = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))
-                visits = dots[np.arange(len(x)), home][:, None] - dots <= apart * gaps[home] + 1e-9
-                visits &= np.arange(len(c)) >= home[:, None]
-                i, j = np.nonzero(visits)
-                rows[0].append(at[i]), rows[1].append(j), rows[2].append(j != home[i])
-            take = pa.array(np.concatenate(rows[0]) if rows[0] else np.zeros(0, np.int64))
+            rows: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                of = np.flatnonzero(dims == dim)
+                for begin in range(0, len(of), BLOCK):
+                    at = of[begin : begin + BLOCK]
+                    x = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), dim)
+                    for i, cell, guest in shared.value[dim].visits(x, apart):
+                        for column, value in zip(rows, (at[i], cell, guest), strict=True):
+                            column.append(value)
+            take = pa.array(np.concatenate(rows[0]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in range(5)]
-                + [pa.array(np.concatenate(rows[1]) if rows[1] else np.zeros(0), pa.int32()), pa.array(np.concatenate(rows[2]) if rows[2] else np.zeros(0), pa.bool_())],
+                [batch.column(k).take(take) for k in range(5)] + [pa.array(np.concatenate(rows[1]), pa.int32()), pa.array(np.concatenate(rows[2]), pa.bool_())],
                 ["vec_id", "label", "dim", "unit", "copies", "cell", "guest"],
             )
+        trim()
 
     return classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(
         assign, "vec_id long, label string, dim int, unit binary, copies long, cell int, guest boolean"
@@ -180,7 +230,17 @@ def _compare(threshold: float):
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
-    rows = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
+    rows, key = keyed(rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding")), "vec_id")
+    found = _linked(rows.select(F.col(key).alias("vec_id"), "label", "embedding"), threshold)
+    if hasattr(rows, "_staged_path"):  # ids that rows share, or have none of
+        named = found.join(rows.select(F.col(key).alias("vec_id"), F.col("vec_id").alias("id")), "vec_id")
+        first = named.groupBy("component_id").agg(F.min("id").alias("first"))
+        found = named.join(first, "component_id").select(F.col("id").alias("vec_id"), "n_links", F.col("first").alias("component_id"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """``vec_id, n_links, component_id`` of rows whose ids are their own."""
     every = stage(unit_vectors(rows), "units")
     able = every.where("digest IS NOT NULL")
     classes = stage(
@@ -216,7 +276,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     )
     found = able.select("vec_id", "label", "dim", "digest").join(per_class, ["label", "dim", "digest"]).select("vec_id", "n_links", "component_id")
     alone = every.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.unionByName(alone)
 
 
 SQL = r"""
