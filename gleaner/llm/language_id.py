@@ -3,8 +3,8 @@
 N-grams of one to three letters (other characters become one space) are hashed into ``DIM``
 features; a document's vector is its relative frequencies times idf. The weights are trained with
 follow-the-regularised-leader (per-coordinate steps, elastic net, so most stay exactly zero) on a
-bounded sample of the labelled rows, drawn per language so that a rare one is learned too, and a temperature is fitted on a part of that sample kept
-aside. Prediction is one pass over whole texts, ``CHUNK`` code points at a time with the n-grams
+bounded sample of the labelled rows, drawn per language so that a rare one is learned too, and a
+temperature is fitted on a part of that sample kept aside. Prediction is one pass over whole texts, ``CHUNK`` code points at a time with the n-grams
 across the cuts; the model, a table of fixed size, is broadcast.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is everything
@@ -28,6 +28,8 @@ from .shingles import row_chunks
 #: Hashed features, and the bound on the labelled rows that the model is fitted on: each language
 #: has an equal share of it, but ``LEAST`` rows at least (all of its rows, if they are fewer).
 DIM, SAMPLE, LEAST = 1 << 15, 3000, 50
+#: Code points of a training row at most; any text is read whole when it is judged.
+LONGEST = 1 << 16
 #: Label smoothing of the calibration, without which a sample read without error has no best temperature.
 SMOOTH = 0.02
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 3, 0.3, 1.0, 0.02, 0.01, 30.0
@@ -178,16 +180,23 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model | None:
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Train on about ``sample`` labelled rows that ``learn`` admits, drawn per language by id."""
-    rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(label_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language, as in the model
+    """Train on about ``sample`` labelled rows that ``learn`` admits, drawn per language by id.
+
+    Texts beyond ``LONGEST`` code points are no training rows, unless a language has no others.
+    """
+    rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"), (F.length(text_col) > LONGEST).alias("long")
+    )
+    counts = rows.groupBy("l").agg(F.count_if(~F.col("long")).alias("n"), F.count(F.lit(1)).alias("all")).collect()  # one row a language, as in the model
     if not counts:
         return None
     most = max(LEAST, sample // len(counts))
-    bounds = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, most / n) * (1 << 30)) + 1)))
-    few = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), F.lit(1 << 30)) < F.element_at(bounds, F.col(label_col)))
-    picked = few.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).limit(2 * most * len(counts)).collect()
-    return train([(r["t"], r["l"]) for r in sorted(picked, key=lambda r: (r["i"], r["t"]))])
+    share = {r["l"]: min(1.0, (most if r["n"] else 1) / (r["n"] or r["all"])) for r in counts}
+    bounds = F.create_map(*(F.lit(x) for lang in sorted(share) for x in (lang, int(share[lang] * (1 << 30)) + 1)))
+    few = rows.where(~F.col("long") | F.col("l").isin([r["l"] for r in counts if not r["n"]]))
+    few = few.where(F.pmod(F.xxhash64("i", F.lit("lang")), F.lit(1 << 30)) < F.element_at(bounds, F.col("l")))
+    picked = few.select("i", "t", "l").limit(2 * most * len(counts)).collect()
+    return train([(r["t"], r["l"]) for r in sorted(picked, key=lambda r: (r["i"] or "", r["t"]))])
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str], text_col: str = "text", answer: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -90,3 +90,12 @@ def test_scores_against_a_plain_recomputation():
         z = (total / len(grams) + model.bias) / model.temperature
         e = np.exp(z - z.max())
         assert np.allclose(model.scores([text], L._letters())[0][0], e / e.sum(), atol=1e-6)
+
+
+def test_long_rows_are_learned_from_only_where_there_are_no_others(spark, monkeypatch):
+    monkeypatch.setattr(L, "LONGEST", 100)
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(60)] + [(100, "xyz " * 100, "en"), (101, "der hund und die katze " * 20, "de")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"]
+    learned = sorted((r for r in rows if r[0] != 100), key=lambda r: str(r[0]))
+    assert np.array_equal(model.table, L.train([(t, lang) for _, t, lang in learned]).table)

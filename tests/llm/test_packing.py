@@ -34,6 +34,48 @@ def test_two_replace_one():
     assert sizes[bins == bins[0]].sum() == 10
 
 
+def plain_pack(sizes, capacity):
+    """Best two fit over a plain sorted list: the lengths of each bin."""
+    left, bins = sorted(map(int, sizes)), []
+    while left:
+        held = []
+        while fit := [s for s in left if s <= capacity - sum(held)]:
+            held.append(fit[-1])
+            left.remove(fit[-1])
+        room = capacity - sum(held) + held[-1]
+        if room > held[-1] and len(held) > 1 and left:
+            pairs = [(a + b, -a) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room]
+            if pairs and max(pairs)[0] > held[-1]:
+                total, one = max(pairs)[0], -max(pairs)[1]
+                for s in (one, total - one):
+                    left.remove(s)
+                left = sorted([*left, held.pop()])
+                held += [one, total - one]
+        bins.append(sorted(held))
+    return bins
+
+
+def test_bins_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    for capacity, n in ((10, 12), (50, 60), (100, 90)):
+        for _ in range(25):
+            sizes = rng.integers(1, capacity + 1, n)
+            bins, _ = P.pack_lengths(sizes, capacity)
+            got = [sorted(sizes[bins == b].tolist()) for b in range(bins.max() + 1)]
+            want = plain_pack(sizes, capacity)
+            assert [sum(b) for b in got] == [sum(b) for b in want] and sorted(got) == sorted(want)
+
+
+def test_fast_ids_of_random_strings(encode):
+    rng = np.random.default_rng(7)
+    fast = P._Tokenizer(*tokenizer_files())
+    letters = [*map(chr, range(32, 127)), *"\t\n\r", *map(chr, range(0xA1, 0x250)), *"‐–—‘’“”…‧€"]
+    pieces = [*letters, " ", "  ", "\n\n", "'s", "'LL", "n't", "12345", "...", "the", " and", "ß", "É", "<", "|", ">", "<|endoftext|>", "日", "\u2003", "\x0b", "\x85", "\u0301", "\xad"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 40)))
+        assert fast(text) == encode(text), repr(text)
+
+
 def test_pieces_against_the_tokenizer(spark, encode):
     long = "word and more words " * 3000
     texts = [None, "", "hello", long, "héllo <|endoftext|> wörld", "日本語 текст \u2003x", "hello", "a" * 5000, "\U0001f600 tail"]
