@@ -50,8 +50,10 @@ def sorted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*key, F.col(id_col).alias("doc_id"), F.translate(text, WHITE_SPACE, "").alias("norm"), F.length(text).alias("n_chars")).withColumn("mark", F.xxhash64("norm"))
     hot = _hot_marks(rows, n)
     salt = F.when(F.col("mark").isin(hot), F.pmod(F.xxhash64("doc_id", *key), F.lit(max(SALTS, n))) + 1).otherwise(0) if hot else F.lit(0)
-    sorted_rows = rows.withColumns({"salt": salt.cast("int"), "head": F.substring("norm", 1, SPLITTER)}).repartitionByRange(n, "head", "mark", "salt")
-    run = Window.partitionBy("head", "mark", "salt", "norm")
+    # A constant among the sort keys would cost the windows a second shuffle of the texts.
+    by = ["head", "mark", *["salt"] * bool(hot)]
+    sorted_rows = rows.withColumns({"salt": salt.cast("int"), "head": F.substring("norm", 1, SPLITTER)}).repartitionByRange(n, *by)
+    run = Window.partitionBy(*by, "norm")
     best = run.orderBy(F.desc("n_chars"), "doc_id", *key)
     return sorted_rows.select(
         *key, "doc_id", "salt", "n_chars",
