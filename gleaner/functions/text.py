@@ -18,10 +18,16 @@ PLAIN_TEXT = "text/plain"
 SUPPORTED_MIME = ("application/pdf", "text/plain", "text/markdown", "text/html")
 #: Separators of fixed-size chunks, by priority.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Patterns of what is cut from pages, or put in its place.
+SCRIPTS = r"(?is)<(script|style)[^>]*>.*?</\1>"
+IMAGE_WITH_TEXT = r"""(?i)<img[^>]*?alt=["']([^>\n]*?)["'][^>]*>"""
+IMAGE = r"(?i)<img[^>]*>"
 #: Name spaces of chunk ids and of stored texts.
 CHUNK_NAMESPACE = "37000000-0000-0000-0000-000000000037"
 DNS_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 SPARSE_BUCKETS = 10000
+#: Values that a fold collects in one array before it begins another.
+FOLD = 256
 
 
 def strip(text: Column) -> Column:
@@ -51,17 +57,21 @@ def mime_of(path: Column) -> Column:
     return out
 
 
+def _marked_images(html: Column) -> Column:
+    """Without scripts and styles, images as their alternative text."""
+    x = F.regexp_replace(html, SCRIPTS, "")
+    return F.regexp_replace(F.regexp_replace(x, IMAGE_WITH_TEXT, "[Image: $1]"), IMAGE, "[Image]")
+
+
 def html_text(html: Column) -> Column:
     """Character data of simple markup, white space collapsed; images become their alt text.
 
-    Named entities beyond the common ones and malformed markup need ``html_text_parsed``.
+    All in the JVM, for pages known to be simple: named entities beyond the common ones, numeric
+    ones and malformed markup need ``html_text_parsed``, which ingestion uses.
     """
-    x = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    x = F.regexp_replace(x, r"""(?i)<img[^>]*?alt=["']([^>\n]*?)["'][^>]*>""", "[Image: $1]")
-    x = F.regexp_replace(x, r"(?i)<img[^>]*>", "[Image]")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
+    x = F.regexp_replace(_marked_images(html), r"(?s)<!--.*?-->", "")
     x = F.regexp_replace(x, r"<[!/]?[a-zA-Z][^>]*>", "")
-    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
         x = F.regexp_replace(x, f"&{name};", char)
     return sanitize(F.regexp_replace(x, rf"(?U){_BLANK}+", " "))
 
@@ -88,21 +98,18 @@ def _character_data(pages: pd.Series) -> pd.Series:
 
 def html_text_parsed(html: Column) -> Column:
     """As ``html_text``, with a real parser for any markup and entity (an Arrow UDF)."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    x = F.regexp_replace(x, r"""(?i)<img[^>]*?alt=["']([^>\n]*?)["'][^>]*>""", "[Image: $1]")
-    x = F.regexp_replace(x, r"(?i)<img[^>]*>", "[Image]")
-    return sanitize(F.regexp_replace(F.pandas_udf(_character_data, "string")(x), rf"(?U){_BLANK}+", " "))
+    return sanitize(F.regexp_replace(F.pandas_udf(_character_data, "string")(_marked_images(html)), rf"(?U){_BLANK}+", " "))
 
 
 def extract(content: Column, mime: Column) -> Column:
     """Text of a file's bytes; null for a MIME type that is not supported.
 
-    PDF needs a reader that is plugged in (see ``gleaner.operators.registry``); without one its
-    text is empty.
+    PDF is empty here: its text needs a reader that is plugged in (``ingest.extracted``). Only the
+    pages among the files travel to the parser.
     """
     text = decode(content)
     return (
-        F.when(mime == "text/html", html_text(text)).when(mime.isin("text/plain", "text/markdown"), sanitize(text))
+        F.when(mime == "text/html", html_text_parsed(F.when(mime == "text/html", text))).when(mime.isin("text/plain", "text/markdown"), sanitize(text))
         .when(mime == "application/pdf", F.lit(""))
     )
 
@@ -149,40 +156,84 @@ def _not_empty(pieces: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
-def _cuts(text: Column, size: int, overlap: int) -> Column:
-    """array<struct<s, e>> of a text longer than ``size``, by a fold over at most as many steps."""
-    n = F.length(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, state: Column, step, kind: str) -> Column:
+    """struct<state, out>: a fold that puts out values, in work proportional to its items.
+
+    ``step`` of state and item is a struct ``state, put``, put being an array<kind>. Appending to
+    an array copies it, so ``FOLD`` items fill an array of their own.
+    """
+    nothing, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def append(acc, x):
+        return once(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["put"]).alias("out")))
+
+    def block(acc, b):
+        inner = F.aggregate(b, F.struct(acc["state"].alias("state"), nothing.alias("out")), append)
+        return once(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def all_blocks(every):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / FOLD).cast("int")), lambda i: F.slice(every, i * FOLD + 1, F.lit(FOLD)))
+        done = F.aggregate(blocks, F.struct(state.alias("state"), nested.alias("out")), block)
+        return once(done, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
+
+    return once(items, lambda every: F.when(F.size(every) == 0, F.struct(state.alias("state"), nothing.alias("out"))).otherwise(all_blocks(every)))
+
+
+def _pages(text: Column, size: int) -> Column:
+    """A text in pieces of ``size`` code points, in which places are found without reading from its beginning."""
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1)))
 
-    def step(acc, _):
-        end = acc["at"] + size
-        window = F.reverse(F.substring(text, end - overlap + 1, F.lit(overlap)))
-        cut = F.lit(None).cast("int")
-        for sep in reversed(SEPARATORS):
-            place = F.instr(window, F.lit(sep[::-1]))
-            cut = F.when(place > 0, end - place + 1).otherwise(cut)
-        # Bound once: (end of this piece, start of the next).
-        piece = F.transform(
-            F.array(F.when(end >= n, n).otherwise(cut)),
-            lambda c: F.struct(acc["at"].alias("s"), F.coalesce(c, end).alias("e"), F.coalesce(c, end - overlap).alias("next")),
-        )[0]
-        done = F.struct(piece["next"].alias("at"), F.concat(acc["out"], F.array(F.struct(piece["s"].alias("s"), piece["e"].alias("e")))).alias("out"))
-        return F.when(acc["at"] >= n, acc).otherwise(done)
 
-    steps = F.sequence(F.lit(1), F.ceil(n / (size - overlap)).cast("int") + 1)
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def _part(pages: Column, page: int, start: Column, length: Column) -> Column:
+    """``length`` code points, at most a page, from ``start`` on."""
+    n = F.floor(start / page).cast("int")
+    here = F.get(pages, n)
+    both = F.when(start % page + length <= F.length(here), here).otherwise(F.concat(here, F.coalesce(F.get(pages, n + 1), F.lit(""))))
+    return F.substring(both, start % page + 1, length)
+
+
+def _cut_pieces(text: Column, size: int, overlap: int) -> Column:
+    """The pieces of a text longer than ``size``, by a fold over at most as many steps."""
+    page = max(4096, 4 * size)
+
+    def pieces(bound):
+        pages, n = bound["pages"], bound["n"]
+
+        def step(at, _):
+            end = at + size
+            window = F.reverse(_part(pages, page, end - overlap, F.lit(overlap)))
+            cut = F.lit(None).cast("int")
+            for sep in reversed(SEPARATORS):
+                place = F.instr(window, F.lit(sep[::-1]))
+                cut = F.when(place > 0, end - place + 1).otherwise(cut)
+
+            def put(c):
+                to = F.coalesce(c, end)
+                return F.struct(F.coalesce(c, end - overlap).alias("state"), F.array(strip(_part(pages, page, at, to - at))).alias("put"))
+
+            done = F.struct(at.alias("state"), F.array().cast("array<string>").alias("put"))
+            return F.when(at >= n, done).otherwise(once(F.when(end >= n, n).otherwise(cut), put))
+
+        return folded(F.sequence(F.lit(1), F.ceil(n / (size - overlap)).cast("int") + 1), F.lit(0), step, "string")["out"]
+
+    return once(F.struct(_pages(text, page).alias("pages"), F.length(text).alias("n")), pieces)
 
 
 def chunk_fixed(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Pieces of at most ``size`` code points, cut after the last separator in the look-back window.
 
     Only a hard cut, where the window holds no separator, overlaps the next piece. A text that
-    fits is one piece as it is; pieces of longer texts are stripped, and empty ones dropped.
+    fits is one piece as it is; pieces of longer texts are stripped, and empty ones dropped. The
+    work is in proportion to the text.
     """
     _check(size, overlap)
-    pieces = F.transform(_cuts(text, size, overlap), lambda c: strip(F.substring(text, c["s"] + 1, c["e"] - c["s"])))
     none = F.array().cast("array<string>")
-    return F.when(text.isNull() | (text == ""), none).when(F.length(text) <= size, F.array(text)).otherwise(_not_empty(pieces))
+    return F.when(text.isNull() | (text == ""), none).when(F.length(text) <= size, F.array(text)).otherwise(_not_empty(_cut_pieces(text, size, overlap)))
 
 
 def _fitted(pieces: Column, size: int, overlap: int) -> Column:
@@ -209,20 +260,18 @@ def chunk_semantic(parts: Column, vectors: Column, distance, threshold: float =
     vector columns.
     """
     _check(size, overlap)
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, i):
-        far = distance(F.element_at(vectors, i - 1), F.element_at(vectors, i)) > threshold
-        full = F.length(acc["now"]) + F.length(F.element_at(parts, i)) + 1 > size
-        part = F.element_at(parts, i)
-        return F.when(
-            far | full, F.struct(part.alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
-        ).otherwise(F.struct(F.concat(acc["now"], F.lit(" "), part).alias("now"), acc["out"].alias("out")))
-
-    first = start.withField("now", F.element_at(parts, 1))
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(parts)), first, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
+
+    def step(now, x):
+        close = x["far"] | (F.length(now) + F.length(x["part"]) + 1 > size)
+        put = F.when(close, F.array(now)).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(close, x["part"]).otherwise(F.concat(now, F.lit(" "), x["part"])).alias("state"), put.alias("put"))
+
+    def runs(p):
+        later = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda part, i: F.struct(part.alias("part"), (distance(F.get(vectors, i), F.get(vectors, i + 1)) > threshold).alias("far")))
+        return once(folded(later, F.element_at(p, 1), step, "string"), lambda r: F.concat(r["out"], F.array(r["state"])))
+
     none = F.array().cast("array<string>")
-    whole = F.when(F.size(parts) <= 1, parts).otherwise(folded)
+    whole = F.when(F.size(parts) <= 1, parts).otherwise(once(parts, runs))
     return F.when(parts.isNull() | (F.size(parts) == 0), none).otherwise(_fitted(whole, size, overlap))
 
 

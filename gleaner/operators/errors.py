@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+import re
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+# Attempts and seconds between them.
+ATTEMPTS, DELAY = 3, 5.0
 # What is looked for in class names, status codes and messages.
 CLASS_TERMS = ("Timeout", "ConnectError", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout", "NetworkError", "APIConnectionError", "APIConnection")
 BUILT_IN = ("TimeoutError", "ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError")
@@ -35,3 +42,41 @@ def retryable(class_name: Column, status: Column, message: Column) -> Column:
 
 def rate_limited(message: Column) -> Column:
     return message.contains("429") | message.contains("RESOURCE_EXHAUSTED") | F.lower(message).contains("quota")
+
+
+def is_retryable(problem: BaseException) -> bool:
+    """``retryable`` for an exception at hand, on executors too: names along its classes, status, message."""
+    names = [c.__name__ for c in type(problem).__mro__]
+    if any(n in BUILT_IN for n in names) or any(t in names[0] for t in CLASS_TERMS):
+        return True
+    status = getattr(problem, "status_code", None) or getattr(problem, "code", None) or getattr(getattr(problem, "response", None), "status_code", None)
+    if isinstance(status, int):
+        return status in RETRY_STATUS
+    said = str(problem).lower()
+    denied = any(t in said for t in DENY_TERMS) or re.search(DENY_CODES, said)
+    return not denied and bool(any(t in said for t in RETRY_TERMS) or re.search(RETRY_CODES, said))
+
+
+def retried(call: Callable, attempts: int = ATTEMPTS, delay: float = DELAY, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call`` made again where that may help; other problems, and the last one, are raised."""
+
+    def run(*args, **kwargs):
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return call(*args, **kwargs)
+            except Exception as problem:
+                if not left or not is_retryable(problem):
+                    raise
+                log.warning("%s; %d attempts left", problem, left)
+                sleep(delay)
+
+    return run
+
+
+def retried_stream(make: Callable[[], Iterator], attempts: int = ATTEMPTS, delay: float = DELAY, sleep: Callable[[float], None] = time.sleep) -> Iterator:
+    """The items of ``make()``, begun again only as long as nothing has come out of it."""
+    first = retried(lambda: (items := iter(make()), next(items, items)), attempts, delay, sleep)
+    items, item = first()
+    if item is not items:
+        yield item
+        yield from items

@@ -1,20 +1,21 @@
 """Named operators, table functions, vector backends, embedders and readers that plug in.
 
 An embedder is a function from a text column to a vector column; the built-in one needs no
-network. A reader turns the bytes of a MIME type into text.
+network. A reader turns the bytes of the MIME type it is registered for into text, in ingestion.
+The chunkers are operators from documents to chunks.
 """
 
 from __future__ import annotations
 
 import logging
-import time
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import errors
 
 log = logging.getLogger(__name__)
 
@@ -56,12 +57,19 @@ class Registry:
 operators, backends, embedders, readers = Registry("operator"), Registry("vector backend"), Registry("embedder"), Registry("reader")
 
 
-def enabled(descriptors: DataFrame, only: list[str] | None = None, disabled: list[str] | None = None, prefix: str = "", name_col: str = "name") -> DataFrame:
-    """Descriptors that are on (all, or those listed) and not off, their names prefixed."""
+def enabled(descriptors: DataFrame, only: list[str] | DataFrame | None = None, disabled: list[str] | DataFrame | None = None, prefix: str = "", name_col: str = "name") -> DataFrame:
+    """Descriptors that are on (all, or those listed) and not off, their names prefixed.
+
+    Names are lists, or tables with a column of that name.
+    """
     kept = descriptors
-    if only is not None:
+    if isinstance(only, DataFrame):
+        kept = kept.join(only.select(name_col), name_col, "left_semi")
+    elif only is not None:
         kept = kept.where(F.col(name_col).isin(list(only)))
-    if disabled:
+    if isinstance(disabled, DataFrame):
+        kept = kept.join(disabled.select(name_col), name_col, "left_anti")
+    elif disabled:
         kept = kept.where(~F.col(name_col).isin(list(disabled)))
     return kept.withColumn("original_name", F.col(name_col)).withColumn(name_col, F.concat(F.lit(f"{prefix}_"), name_col) if prefix else F.col(name_col))
 
@@ -86,51 +94,67 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
 
 
 @embedders.register("batched")
-def batched_embedder(embed_batch: Callable[[list[str]], list[list[float]]], dimensions: int, attempts: int = 3, delay: float = 5.0) -> Callable[[Column], Column]:
-    """A provider's batch call as an Arrow UDF: retried where that may help, its answers checked."""
-    def call(texts: pd.Series) -> pd.Series:
-        batch = [t or "" for t in texts]
-        for attempt in range(attempts):
-            try:
-                vectors = embed_batch(batch)
-                break
-            except (TimeoutError, ConnectionError):
-                if attempt + 1 == attempts:
-                    raise
-                time.sleep(delay)
+def batched_embedder(
+    embed_batch: Callable[[list[str]], list[list[float]]], dimensions: int, attempts: int = errors.ATTEMPTS, delay: float = errors.DELAY, on_error: str = "raise"
+) -> Callable[[Column], Column]:
+    """A provider's batch call as an Arrow UDF: retried where that may help, its answers checked.
+
+    With ``on_error="null"`` a batch that fails is asked for text by text, and a text that fails
+    has no vector, so that one bad text does not fail a stage.
+    """
+    if on_error not in ("raise", "null"):
+        raise ValueError(f"on_error is raise or null, not {on_error}")
+
+    def ask(batch: list[str]) -> list[list[float]]:
+        vectors = errors.retried(embed_batch, attempts, delay)(batch)
         if len(vectors) != len(batch) or any(len(v) != dimensions for v in vectors):
             raise ValueError("the provider's answer has the wrong shape")
-        return pd.Series([[float(x) for x in v] for v in vectors])
+        return [[float(x) for x in v] for v in vectors]
+
+    def alone(text: str) -> list[float] | None:
+        try:
+            return ask([text])[0]
+        except Exception as problem:
+            log.warning("a text has no vector: %s", problem)
+            return None
+
+    def call(texts: pd.Series) -> pd.Series:
+        batch = [t or "" for t in texts]
+        try:
+            return pd.Series(ask(batch))
+        except Exception:
+            if on_error == "raise":
+                raise
+            return pd.Series([alone(t) for t in batch])
 
     return F.pandas_udf(call, "array<double>")
 
 
-def register_functions(spark: SparkSession) -> None:
-    """The chunkers as SQL table functions, for users of SQL alone."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="chunk_index int, chunk string")
-    class FixedChunks:
-        def eval(self, text: str, size: int, overlap: int):
-            if overlap >= size:
-                raise ValueError("overlap must be less than size")
-            if not text:
-                return
-            if len(text) <= size:
-                yield 0, text
-                return
-            at, n = 0, 0
-            while at < len(text):
-                end = at + size
-                cut = len(text) if end >= len(text) else None
-                if cut is None:
-                    window = text[end - overlap : end]
-                    sep = next((s for s in (b"\n\n", b"\n", b". ", b" ") if s.decode() in window), None)
-                    cut = None if sep is None else end - overlap + window.rfind(sep.decode()) + len(sep)
-                piece = text[at : end if cut is None else cut].strip()
-                if piece:
-                    yield n, piece
-                    n += 1
-                at = end - overlap if cut is None else cut
-
-    spark.udtf.register("fixed_chunks", FixedChunks)
+def read_with(reader: Callable[[bytes], str], content: Column) -> Column:
+    """struct<text, error> of a reader's answer for each file's bytes; a problem is an error, not a failed stage."""
+
+    def read(files: pd.Series) -> pd.DataFrame:
+        texts, problems = [], []
+        for data in files:
+            try:
+                texts.append(None if data is None else reader(bytes(data)))
+                problems.append(None)
+            except Exception as problem:
+                texts.append(None)
+                problems.append(f"{type(problem).__name__}: {problem}")
+        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(problems, dtype=object)})
+
+    return F.pandas_udf(read, "text string, error string")(content)
+
+
+def _chunker(strategy: str) -> Callable:
+    def make(**options) -> Callable[[DataFrame], DataFrame]:
+        from .ingest import chunk_documents
+
+        return lambda docs: chunk_documents(docs, strategy, **options)
+
+    return make
+
+
+for _strategy in ("fixed", "markdown", "semantic"):
+    operators.register(f"{_strategy}_chunks", _chunker(_strategy))

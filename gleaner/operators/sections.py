@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: Required sections where no template says otherwise, and the shortest content.
 REQUIRED = {"summary": "Summary", "key changes": "Key Changes", "discussion & pitfalls": "Discussion & Pitfalls", "verification": "Verification"}
-PLACEHOLDER, MIN_LENGTH, IGNORED = "[answer here]", 10, ("pull request", "pr")
+MIN_LENGTH, IGNORED = 10, ("pull request", "pr")
+#: What does not count as content: comments, placeholder, hints and empty items.
+COMMENT, PLACEHOLDER = r"(?s)<!--.*?-->", r"(?im)^\s*(?:[-*+]\s*)?\[answer here\]\s*$"
+HINT, EMPTY_ITEM = r"(?m)^\s*\*.*?\?\*\s*$", r"(?m)^\s*[-*+]\s*$"
 
 
 def parse(body: Column) -> Column:
@@ -34,11 +37,11 @@ def required_of(template: str | None) -> dict[str, str]:
 
 def _cleaned(content: Column) -> tuple[Column, Column]:
     """Whether the placeholder stands in it, and what is left of it to count."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(content, r"(?s)<!--.*?-->", ""), r"^\s+|\s+$", ""))
-    placeholder = r"(?im)^\s*(?:[-*+]\s*)?\[answer here\]\s*$"
-    rest = F.regexp_replace(text, placeholder, "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"(?m)^\s*\*.*?\?\*\s*$", ""), r"(?m)^\s*[-*+]\s*$", "")
-    return text.rlike(placeholder), F.regexp_replace(rest, r"^\s+|\s+$", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(content, COMMENT, ""), r"^\s+|\s+$", ""))
+    rest = text
+    for pattern in (PLACEHOLDER, HINT, EMPTY_ITEM):
+        rest = F.regexp_replace(rest, pattern, "")
+    return text.rlike(PLACEHOLDER), F.regexp_replace(rest, r"^\s+|\s+$", "")
 
 
 def errors(body: Column, required: dict[str, str] | None = None, least: int = MIN_LENGTH) -> Column:

@@ -57,6 +57,13 @@ def file_verdict(mime: Column, size: Column) -> Column:
     return F.when(~mime.isin(*FILE_TYPES), "unsupported type").when(size > MAX_FILE_BYTES, "too large")
 
 
+def upload_verdicts(files: DataFrame, message: str = "message_id") -> DataFrame:
+    """Files (``mime``, ``size``) of messages with ``problem``; a message of more than ``MAX_FILES`` is refused as a whole."""
+    counts = files.groupBy(message).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_FILES)
+    problem = F.when(F.col("_n").isNotNull(), "too many files").otherwise(file_verdict(F.col("mime"), F.col("size")))
+    return files.join(counts, message, "left").withColumn("problem", problem).drop("_n")
+
+
 def image_verdict(mime: Column, width: Column, height: Column, types=IMAGE_TYPES, least: int = MIN_SIDE) -> Column:
     return F.when(~F.coalesce(mime, F.lit("image/png")).isin(*types), "unsupported format").when((width < least) | (height < least), "too small")
 

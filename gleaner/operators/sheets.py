@@ -57,31 +57,55 @@ def padded(cells: Column, width: int) -> Column:
     return F.when(F.size(cells) >= width, cells).otherwise(F.concat(cells, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(width) - F.size(cells)))))
 
 
-def write_range(sheet: DataFrame, a1: str, values: list[list[str]]) -> DataFrame:
+def entered(value, raw: bool = False) -> str:
+    """What a cell holds: raw values as they are, entered ones as a sheet reads them (text after an apostrophe, TRUE and FALSE)."""
+    if raw:
+        return str(value)
+    text = str(value)
+    return text[1:] if text.startswith("'") else text.upper() if text.lower() in ("true", "false") else text
+
+
+def write_range(sheet: DataFrame, a1: str, values: list[list[str]], raw: bool = False) -> DataFrame:
     """The sheet with cells of a range overwritten, rows appended where it ends before."""
     top, _, left, _ = parse_range(a1)
     spark = sheet.sparkSession
-    new = spark.createDataFrame([(top + i, [str(v) for v in row]) for i, row in enumerate(values)], "row_no long, new array<string>")
+    new = spark.createDataFrame([(top + i, [entered(v, raw) for v in row]) for i, row in enumerate(values)], "row_no long, new array<string>")
     both = sheet.join(new, "row_no", "full_outer")
     before = padded(F.coalesce("cells", F.array().cast("array<string>")), left - 1)
     put = F.concat(F.slice(before, 1, left - 1) if left > 1 else F.array().cast("array<string>"), F.col("new"), F.slice(before, F.lit(left) + F.size("new"), F.greatest(F.size(before), F.lit(1))))
     return both.select("row_no", F.when(F.col("new").isNull(), F.col("cells")).otherwise(put).alias("cells"))
 
 
-def append_rows(sheet: DataFrame, values: list[list[str]]) -> DataFrame:
-    """Rows put after the last one."""
-    last = sheet.agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("n")).first()["n"]
-    return write_range(sheet, f"A{last + 1}", values)
+def write_batch(sheet: DataFrame, data: dict[str, list[list[str]]], raw: bool = False) -> DataFrame:
+    """Several ranges overwritten, the later ones over the earlier."""
+    for a1, values in data.items():
+        sheet = write_range(sheet, a1, values, raw)
+    return sheet
+
+
+def append_rows(sheet: DataFrame, values: list[list[str]], raw: bool = False) -> DataFrame:
+    """Rows put after the last one whose first cell holds something."""
+    used = F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit("")) != ""
+    last = sheet.where(used).agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("n")).first()["n"]
+    return write_range(sheet, f"A{last + 1}", values, raw)
+
 
+def write_verified(sheet: DataFrame, a1: str, values: list[list[str]], store=None, raw: bool = False) -> DataFrame:
+    """Write, read back, compare the cells; a mismatch raises, the old stays.
 
-def write_verified(sheet: DataFrame, a1: str, values: list[list[str]], store=lambda s: s) -> DataFrame:
-    """Write, read back through ``store``, compare rows and width; a mismatch raises, the old stays."""
-    after = store(write_range(sheet, a1, values))
+    ``store`` writes the sheet and reads it back, and the comparison is of what it returns. Without
+    it nothing is stored yet, and nothing is compared.
+    """
+    after = write_range(sheet, a1, values, raw)
+    if store is None:
+        return after
+    after = store(after)
     top, _, left, _ = parse_range(a1)
-    back = after.where(F.col("row_no").between(top, top + len(values) - 1)).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("cells") - left + 1).alias("width")).first()
     width = max(map(len, values), default=0)
-    if (back["rows"], max(0, back["width"] or 0) >= width) != (len(values), True):
-        raise ValueError("write verification failed: the sheet read back differs; nothing was changed")
+    back = {r["row_no"]: r["cells"] for r in after.where(F.col("row_no").between(top, top + len(values) - 1)).select("row_no", F.slice("cells", left, max(1, width)).alias("cells")).collect()}
+    for i, row in enumerate(values):  # as many rows as were given
+        if (back.get(top + i) or [])[: len(row)] != [entered(v, raw) for v in row]:
+            raise ValueError("write verification failed: the sheet read back differs; nothing was changed")
     return after
 
 

@@ -56,9 +56,13 @@ def extract_html(spark, sf_dir):
     return spread(read(spark, sf_dir, "pages")).select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query(ORACLE_SQL["extract_html"])
+_ODD = "<p>&eacute;&#233;&hellip; 1 < 2 <!-- > <b>left</b out> -- --><IMG alt='a cat'>"
+
+
+@query(f"SELECT page_id, text || ' éé… 1 < 2 [Image: a cat]' AS text FROM ({ORACLE_SQL['extract_html']})")
 def extract_html_parsed(spark, sf_dir):
-    return spread(read(spark, sf_dir, "pages")).select("page_id", T.html_text_parsed(F.col("html")).alias("text"))
+    """Every page with markup and entities at its end that only a parser reads."""
+    return spread(read(spark, sf_dir, "pages")).select("page_id", T.html_text_parsed(F.concat("html", F.lit(f" {_ODD}"))).alias("text"))
 
 
 @query(rf"""
@@ -695,8 +699,7 @@ def section_validate(spark, sf_dir):
 SELECT 'kit_' || n_name AS name, n_name AS original_name FROM nation WHERE n_nationkey < 10 AND n_name <> (SELECT n_name FROM nation WHERE n_nationkey = 4)""")
 def tool_filter_prefix(spark, sf_dir):
     names = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
-    by_key = {r["n_nationkey"]: r["name"] for r in names.collect()}
-    return registry.enabled(names, [n for k, n in by_key.items() if k < 10], [by_key[4]], "kit").select("name", "original_name")
+    return registry.enabled(names, names.where("n_nationkey < 10"), names.where("n_nationkey = 4"), "kit").select("name", "original_name")
 
 
 @query("""
@@ -726,6 +729,70 @@ def ingest_plan(spark, sf_dir):
     return chunks.groupBy("filepath").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def _run(spark, sf_dir) -> tuple[DataFrame, ingest.Run]:
+    """A collection of one old point a file, and a run over the snapshot in which some files cannot be read."""
+    scan, state = _snapshot(spark, sf_dir)
+    files = scan.select("filepath", "last_modified", "hash", F.when(F.col("doc_id") % 17 != 0, F.col("text").cast("binary")).alias("content"))
+    ids = F.when(F.col("collection_name") == COLLECTION, F.array(F.concat(F.lit("c-"), "filepath"))).otherwise(F.col("chunk_ids"))
+    state = state.withColumn("chunk_ids", ids)
+    old = state.where(F.col("collection_name") == COLLECTION).select(
+        F.concat(F.lit("c-"), "filepath").alias("id"), F.array(F.lit(1.0)).alias("dense"), F.lit("old").alias("text"), "filepath", F.lit(0).alias("chunk_index")
+    )
+    return old, ingest.plan_run(files, state, COLLECTION, registry.embedders.create("hashed", 8))
+
+
+@query(f"""
+WITH c AS ({_chunk_sql(f"SELECT doc_id, trim(text, {_WS}) AS text FROM documents WHERE (doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0) AND doc_id % 17 <> 0", 500, 50)})
+SELECT {_uuid5_sql(T.CHUNK_NAMESPACE, "doc_id || '_' || chunk_index")} AS id, doc_id::VARCHAR AS filepath, chunk_index, length(text)::INT AS n_chars FROM c
+UNION ALL SELECT 'c-' || doc_id, doc_id::VARCHAR, 0, 3 FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 17 = 0 OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0))""")
+def ingest_run(spark, sf_dir):
+    """The collection after a run: stale points gone, new ones there, those of failed files as they were."""
+    old, run = _run(spark, sf_dir)
+    return ingest.changed(old, run).select("id", "filepath", "chunk_index", F.length("text").alias("n_chars"))
+
+
+@query(f"""
+WITH {_DELTA_SQL}
+SELECT filepath, action, CASE WHEN failed THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN failed THEN 'file cannot be read' END AS error
+FROM (SELECT *, action <> 'DELETED' AND filepath NOT LIKE 'gone%' AND replace(filepath, 'gone-', '')::BIGINT % 17 = 0 AS failed FROM d WHERE action IS NOT NULL)""")
+def ingest_run_jobs(spark, sf_dir):
+    return _run(spark, sf_dir)[1].jobs
+
+
+@query("""
+SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY doc_id // 9, lang) > 5 THEN 'too many files' WHEN doc_id % 5 = 4 THEN 'unsupported type' END AS problem FROM documents""")
+def upload_limit(spark, sf_dir):
+    mime = F.element_at(F.array(*map(F.lit, (*sessions.FILE_TYPES, "image/png"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = read(spark, sf_dir, "documents").select("doc_id", F.struct(F.floor(F.col("doc_id") / 9), "lang").alias("message_id"), mime.alias("mime"), F.col("n_chars").alias("size"))
+    return sessions.upload_verdicts(files).select("doc_id", "problem")
+
+
+@query(f"""
+WITH {_EVENTS_SQL}, r AS (SELECT *, seq // 500 AS run_id FROM ev), b AS (SELECT session_id, run_id, min(seq) AS began FROM r GROUP BY ALL)
+SELECT session_id, seq FROM r WHERE run_id = (SELECT arg_max(run_id, began) FROM b WHERE b.session_id = r.session_id)""")
+def run_replacement(spark, sf_dir):
+    return E.latest_run(session_events(spark, sf_dir).withColumn("run_id", F.floor(F.col("seq") / 500))).select("session_id", "seq")
+
+
+@query(_ranked_sql(f"list_cosine_similarity(dense, {_Q})", where=f"round(list_cosine_similarity(dense, {_Q}), 6) >= 0.3", limit=50))
+def search_threshold(spark, sf_dir):
+    return search.dense(points(spark, sf_dir), a_vector(), 50, threshold=0.3).select("id", "score")
+
+
+@query(f"WITH {_POINTS_SQL}, {_SPARSE_SQL} {_sparse_hits('true', 5)}")
+def search_sparse_stored(spark, sf_dir):
+    """The sparse search over points that hold their sparse vectors, as collections do."""
+    p = points(spark, sf_dir)
+    vectors = search.sparse_vectors(p.where("text IS NOT NULL")).select("id", F.struct("indices", "values").alias("sparse"))
+    return search.sparse(p.join(vectors, "id", "left"), _TEXT).select("id", "score")
+
+
+@query("""
+SELECT n_nationkey::BIGINT + 1 AS row_no, CASE n_nationkey WHEN 0 THEN 'TRUE|' || n_name || '|' || n_regionkey WHEN 4 THEN n_nationkey || '|b5|c5' ELSE n_nationkey || '|' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '|' || n_regionkey ELSE '' END END AS cells FROM nation""")
+def grid_write_batch(spark, sf_dir):
+    return sheets.write_batch(grid(spark, sf_dir), {"A1": [["true"]], "B5:C5": [["b5", "c5"]]}).select("row_no", F.array_join("cells", "|").alias("cells"))
+
+
 @query("""
 SELECT role, count(*) AS n, max(t) AS longest FROM (SELECT role, length(text) AS t FROM conversations) GROUP BY role""")
 def turns_by_role(spark, sf_dir):

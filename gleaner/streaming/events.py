@@ -72,13 +72,54 @@ def tool_calls(events: DataFrame) -> DataFrame:
     A completion or error ends every running call of that tool in its session: a call ends at the
     first such event after it.
     """
-    after = Window.partitionBy("session_id", "tool").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    end = F.first(F.when(F.col("event").isin("tool_complete", "tool_error"), F.struct("seq", "event")), ignorenulls=True).over(after)
+    # Read backwards the frame only grows, so each call costs one step.
+    after = Window.partitionBy("session_id", "tool").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.last(F.when(F.col("event").isin("tool_complete", "tool_error"), F.struct("seq", "event")), ignorenulls=True).over(after)
     calls = events.where(F.col("event").isin("tool_start", "tool_complete", "tool_error")).withColumn("end", end).where(F.col("event") == "tool_start")
     status = F.when(F.col("end.event") == "tool_complete", "completed").when(F.col("end.event") == "tool_error", "error").otherwise("running")
     return calls.select("session_id", "tool", "seq", status.alias("status"), F.col("end.seq").alias("ended"))
 
 
+def latest_run(events: DataFrame) -> DataFrame:
+    """A new request replaces the one under way: only events of each session's run (``run_id``) that began last."""
+    runs = events.groupBy("session_id", "run_id").agg(F.min("seq").alias("began"))
+    last = runs.groupBy("session_id").agg(F.max_by("run_id", "began").alias("run_id"))
+    return events.join(last, ["session_id", "run_id"], "left_semi").select(*events.columns)
+
+
+def tool_stream(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """``tool_calls`` over a stream: a row a call when it ends; calls of a session that falls silent, or ends, stay running."""
+
+    def follow(key, batches, state: GroupState):
+        running = [tuple(r) for r in state.get[0]] if state.exists else []
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            out, running = [(tool, seq, "running", None) for tool, seq in running], []
+        rows = [r for batch in batches for r in batch[["seq", "event", "tool"]].itertuples(index=False)]
+        for seq, event, tool in sorted(rows, key=lambda r: r[0]):
+            if event == "tool_start":
+                running.append((tool, seq))
+            elif event in ("tool_complete", "tool_error"):
+                status = "completed" if event == "tool_complete" else "error"
+                out += [(t, s, status, seq) for t, s in running if t == tool]
+                running = [r for r in running if r[0] != tool]
+            elif event in LAST_EVENTS:
+                out += [(t, s, "running", None) for t, s in running]
+                running = []
+        if running:
+            state.update((running,))
+            state.setTimeoutDuration(idle_seconds * 1000)
+        elif state.exists:
+            state.remove()
+        if out:
+            tools, seqs, statuses, ends = zip(*out, strict=True)
+            yield pd.DataFrame({"session_id": [key[0]] * len(out), "tool": tools, "seq": seqs, "status": statuses, "ended": pd.array(ends, dtype="Int64")})
+
+    return events.groupBy("session_id").applyInPandasWithState(
+        follow, "session_id string, tool string, seq long, status string, ended long", "running array<struct<tool:string,seq:long>>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def idle_gaps(events: DataFrame, seconds: int = IDLE_SECONDS, ts: str = "ts") -> DataFrame:
     """Runs of each session's events with no silence longer than ``seconds``: the idle timeout."""
     order = Window.partitionBy("session_id").orderBy(ts, "seq")

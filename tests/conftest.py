@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(home / "warehouse")).config("spark.checkpoint.dir", str(home / "shared"))
         .config("spark.ui.showConsoleProgress", "false")
+        # State with processing-time timeouts would else go on in batches without data for ever.
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -113,9 +113,10 @@ def test_registry(spark):
     calls = registry.embedders.create("batched", lambda texts: [[float(len(t))] for t in texts], 1)
     df = spark.createDataFrame([("abc",), ("d",)], "x string")
     assert [r["v"] for r in df.select(calls(F.col("x")).alias("v")).collect()] == [[3.0], [1.0]]
-    registry.register_functions(spark)
-    got = spark.sql("SELECT chunk FROM fixed_chunks('Paragraph 1 is here. And then some more words', 30, 10)").collect()
-    assert got[0]["chunk"] == "Paragraph 1 is here. And then"
+    docs = spark.createDataFrame([("f", "Paragraph 1 is here. And then some more words")], "filepath string, text string")
+    got = registry.operators.create("fixed_chunks", size=30, overlap=10)(docs).orderBy("chunk_index").collect()
+    assert got[0]["text"] == "Paragraph 1 is here. And then"
+    assert registry.operators.create("markdown_chunks")(docs).count() == 1
 
 
 def test_sheets(spark):
@@ -127,6 +128,14 @@ def test_sheets(spark):
     assert {r["row_no"]: r["cells"] for r in new.collect()}[2] == ["a", "p", "q"]
     with pytest.raises(ValueError):
         sheets.write_verified(sheet, "A1", [["x"], ["y"]], store=lambda s: s.where("row_no > 1"))
+    with pytest.raises(ValueError):  # as many cells, but not those that were written
+        sheets.write_verified(sheet, "A1", [["x"], ["y"]], store=lambda s: s.withColumn("cells", F.transform("cells", lambda c: F.upper(c))))
+    assert sheets.write_verified(sheet, "A1", [["x"], ["y"]], store=lambda s: s).count() == 3
+    batch = {r["row_no"]: r["cells"] for r in sheets.write_batch(sheet, {"A1": [["true"]], "B3:C3": [["'1", "q"]], "A5": [["n"]]}).collect()}
+    assert batch == {1: ["TRUE", "x"], 2: ["a"], 3: ["b", "1", "q"], 5: ["n"]}
+    assert sheets.write_batch(sheet, {"A2": [["'x"]]}, raw=True).where("row_no = 2").first()["cells"] == ["'x"]
+    gap = spark.createDataFrame([(1, ["a"]), (2, ["", "b"])], "row_no long, cells array<string>")
+    assert {r["row_no"]: r["cells"] for r in sheets.append_rows(gap, [["z"]]).collect()}[2] == ["z", "b"]
     assert sheets.vocab_rows(sheet).where("row_no = 2").first()["Tags"] == ""
     assert sheets.append_rows(sheet, [["z"]]).where("row_no = 4").count() == 1
 
@@ -164,7 +173,7 @@ def test_stream_fold_matches_batch(spark, tmp_path):
     events.coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).json(str(tmp_path / "in"))
     q = E.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     got = {r["session_id"]: (r["content"], r["ended_by"]) for r in spark.table("folded").collect()}
     batch = {r["session_id"]: r["content"] for r in E.fold_messages(events).collect()}
     assert got == {"a": ("Hello!", "done"), "b": ("x\n\n*[Execution Cancelled]*", "cancelled"), "c": ("", "error")}
@@ -237,3 +246,220 @@ def test_knn_batch_answers_every_query(spark):
         best = {(q, n + 1): i for q in range(25) for n, i in enumerate(sorted(range(40), key=lambda i: (abs(i - q), i))[:3])}
         assert len(got) == 75 and {(r["query_id"], r["rank"]): r["id"] for r in got} == best
     assert search.knn_batch(points, queries.limit(0)).collect() == []
+
+
+def test_retries_follow_the_classifier(spark):
+    from gleaner.operators import errors as E2
+
+    class HttpError(Exception):
+        def __init__(self, status_code, said=""):
+            super().__init__(said)
+            self.status_code = status_code
+
+    class ReadTimeout(Exception):
+        pass
+
+    cases = [(TimeoutError(), True), (ConnectionResetError(), True), (ReadTimeout(), True), (HttpError(503), True), (HttpError(404, "timeout"), False), (ValueError("quota: forbidden"), False), (ValueError("error 429"), True), (ValueError("bad"), False)]
+    assert [E2.is_retryable(e) for e, _ in cases] == [want for _, want in cases]
+    waits, calls = [], []
+
+    def flaky(problem, fails):
+        def call():
+            calls.append(1)
+            if len(calls) <= fails:
+                raise problem
+            return "done"
+
+        calls.clear()
+        return E2.retried(call, 3, 7.0, waits.append)
+
+    assert flaky(HttpError(503), 2)() == "done" and waits == [7.0, 7.0]
+    with pytest.raises(HttpError):
+        flaky(HttpError(503), 3)()
+    with pytest.raises(ValueError):
+        flaky(ValueError("bad"), 1)()
+    assert len(calls) == 1
+    made = []
+
+    def stream(begin):
+        made.append(1)
+        if begin and len(made) == 1:
+            raise TimeoutError
+        yield 1
+        if not begin:
+            raise TimeoutError
+        yield 2
+
+    assert list(E2.retried_stream(lambda: stream(True), 3, 0.0, waits.append)) == [1, 2] and len(made) == 2
+    made.clear()
+    got = []
+    with pytest.raises(TimeoutError):  # something came out already
+        for item in E2.retried_stream(lambda: stream(False), 3, 0.0, waits.append):
+            got.append(item)
+    assert got == [1] and len(made) == 1
+    assert list(E2.retried_stream(lambda: [], 3, 0.0, waits.append)) == []
+
+
+def test_embedders_that_fail(spark):
+    def embed_batch(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("cannot")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("abc",), ("a bad one",), ("d",)], "x string").coalesce(1)
+    null = registry.embedders.create("batched", embed_batch, 2, on_error="null")
+    assert [r["v"] for r in df.select(null(F.col("x")).alias("v")).collect()] == [[3.0, 1.0], None, [1.0, 1.0]]
+    with pytest.raises(Exception, match="cannot"):
+        df.select(registry.embedders.create("batched", embed_batch, 2)(F.col("x"))).collect()
+    chunks = ingest.chunk_documents(spark.createDataFrame([("f", "One bad. Two. Three. Four.")], "filepath string, text string"), "semantic", 12, 2, lambda parts: F.transform(parts, lambda p: F.when(~p.contains("bad"), F.array(F.lit(1.0)))))
+    assert [r["text"] for r in chunks.orderBy("chunk_index").collect()] == [r["text"] for r in ingest.chunk_documents(spark.createDataFrame([("f", "One bad. Two. Three. Four.")], "filepath string, text string"), "fixed", 12, 2).orderBy("chunk_index").collect()]
+
+
+def test_readers_and_failed_jobs(spark):
+    def read_pdf(data):
+        if data == b"broken":
+            raise OSError("no trailer")
+        return f"pdf\0 of {len(data)}\r\n"
+
+    files_ = spark.createDataFrame([("a.pdf", b"1234"), ("b.pdf", b"broken"), ("c.txt", b"text"), ("d.html", b"<p>x &hellip;"), ("e.bin", None)], "filepath string, content binary")
+    deltas = files_.select("filepath", F.lit("NEW").alias("action"))
+    registry.readers.register("application/pdf", lambda: read_pdf)
+    try:
+        got = {r["filepath"]: (r["status"], r["error"], r["text"]) for r in ingest.run_jobs(files_, deltas).collect()}
+    finally:
+        registry.readers.made.clear()
+    assert got == {
+        "a.pdf": ("COMPLETED", None, "pdf of 4"), "b.pdf": ("FAILED", "OSError: no trailer", ""), "c.txt": ("COMPLETED", None, "text"), "d.html": ("COMPLETED", None, "x …"), "e.bin": ("FAILED", "file cannot be read", ""),
+    }
+    other = files_.where("filepath = 'c.txt'").withColumn("mime", F.lit("image/png"))
+    row = ingest.run_jobs(other, deltas.where("filepath = 'c.txt'")).first()
+    assert (row["status"], row["error"]) == ("FAILED", "unsupported MIME type: image/png")
+    assert ingest.run_jobs(files_, deltas).where("filepath = 'a.pdf'").first()["text"] == ""
+
+
+def test_ingestion_end_to_end(spark, tmp_path):
+    """Files into a collection: new, changed, gone and failing ones, over three runs."""
+    home = tmp_path / "files"
+    home.mkdir()
+    (home / "a.txt").write_text("alpha words. " * 60)
+    (home / "b.md").write_text("# One\nbeta\n# Two\ngamma")
+    db = Collections(spark, str(tmp_path / "db"))
+
+    def embed_batch(texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("cannot")
+        return [[float(len(t)), 1.0, 0.0] for t in texts]
+
+    embed = registry.embedders.create("batched", embed_batch, 3, on_error="null")
+
+    def run(state):
+        return db.ingest("notes", files.scan_directory(spark, str(home)), state, embed, 3, size=100, overlap=10)
+
+    def texts():
+        return {(r["filepath"].rsplit("/", 1)[-1], r["chunk_index"]): r["text"] for r in db.read("notes").collect()}
+
+    counts, state = run(spark.createDataFrame([], ingest.STATE))
+    assert counts == [("NEW", "COMPLETED", None, 2)] and {f for f, _ in texts()} == {"a.txt", "b.md"}
+    first = texts()
+    assert len(first) > 7 and db.search("notes", [1.0, 0.0, 0.0], search_type="hybrid", query_text="gamma", limit=3, answer_fields=["text"]).count() == 3
+    assert search.sparse(db.read("notes"), "gamma").first()["text"] == "# One\nbeta\n# Two\ngamma"
+    (home / "a.txt").write_text("short")
+    (home / "b.md").unlink()
+    (home / "c.txt").write_text("delta")
+    counts, state = run(state)
+    assert sorted(counts, key=str) == [("DELETED", "COMPLETED", None, 1), ("MODIFIED", "COMPLETED", None, 1), ("NEW", "COMPLETED", None, 1)]
+    assert texts() == {("a.txt", 0): "short", ("c.txt", 0): "delta"}
+    (home / "c.txt").write_text("poison")
+    counts, state = run(state)
+    assert counts == [("MODIFIED", "FAILED", "a chunk has no vector", 1)] and texts()["c.txt", 0] == "delta"
+    (home / "c.txt").write_text("better")
+    counts, state = run(state)
+    assert counts == [("MODIFIED", "COMPLETED", None, 1)] and texts() == {("a.txt", 0): "short", ("c.txt", 0): "better"}
+    assert run(state)[0] == [] and state.count() == 2
+
+
+def test_collections_write_changes(spark, tmp_path, monkeypatch):
+    from gleaner.sources import collection as C
+
+    monkeypatch.setattr(C, "CHANGES", 3)
+    monkeypatch.setattr(C, "UNNAMED", -10)
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("c", 3)
+    db.upsert("c", points(spark))
+    meta = db._meta("c")
+    assert len(meta["changes"]) == 1
+    early = db.read("c")
+    # Of two writers that saw the same entry one has to begin again.
+    assert db._add("c", meta) and not db._add("c", meta)
+    db.delete("c", ["1", "none"])
+    assert {r["id"] for r in db.read("c").collect()} == {"2", "3"} and early.count() == 3
+    db.upsert("c", points(spark).where("id = '1'").withColumn("text", F.lit("again")))  # the third change makes a base
+    assert db._meta("c")["changes"] == [] and {r["id"]: r["text"] for r in db.read("c").collect()}["1"] == "again"
+    for n in range(9):
+        db.upsert("c", points(spark).where("id = '2'").withColumn("text", F.lit(f"t{n} t{n}")))
+    assert db.read("c").count() == 3 and search.sparse(db.read("c"), "t8").collect()[0]["score"] == 2.0
+    folders = [p.name for p in (tmp_path / "db" / "c").iterdir() if p.name != "log"]
+    assert len(folders) <= 3 + C.KEPT
+    twice = spark.createDataFrame([("x y", "7", 0), ("z", "7", 1)], "text string, id string, n int").coalesce(1)
+    db.store(twice, registry.embedders.create("hashed", 3), "c")
+    assert {r["id"]: r["text"] for r in db.read("c").collect()}["7"] == "z"
+
+
+def test_sparse_search_of_stored_vectors(spark):
+    p = points(spark)
+    vectors = search.sparse_vectors(p).select("id", F.struct("indices", "values").alias("sparse"))
+    for text in ("pasta pasta", "quantum pasta physics", "nothing here", ""):
+        stored, fresh = (search.sparse(x, text).select("id", "score").collect() for x in (p.join(vectors, "id"), p))
+        assert stored == fresh
+
+
+def test_threshold(spark):
+    p = points(spark)
+    assert [r["id"] for r in search.search(p, [1.0, 0.0, 0.0], threshold=0.5).collect()] == ["1", "3"]
+    assert [r["id"] for r in search.search(p, [1.0, 0.0, 0.0], metric="l2", threshold=0.2).collect()] == ["1", "3"]
+
+
+def test_knn_over_tiles(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(90)] + [(200, [0.0] * 4), (201, None)]
+    df = spark.createDataFrame(rows, "id long, dense array<double>")
+    queries = df.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("query"))
+    for metric in ("cosine", "dot", "euclid"):
+        want = {}
+        for q in queries.where("query IS NOT NULL").collect():
+            for rank, r in enumerate(search.dense(df, q["query"], 4, metric).collect(), 1):
+                want[q["query_id"], rank] = (r["id"], r["score"])
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search.knn_batch(df, queries, 4, metric, most_queries=5, most_points=20).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_numbers_follow_the_order(spark):
+    for n in (0, 1, 5, 3000):
+        rows = spark.createDataFrame([(f"f{(i * 7919) % max(n, 1):05d}",) for i in range(n)], "filepath string")
+        got = sorted((r["filepath"], r["id"]) for r in ingest.numbered(rows, "filepath", 8).collect())
+        assert got == [(f"f{i:05d}", i + 1) for i in range(n)]
+
+
+def test_tool_calls_over_a_stream(spark, tmp_path):
+    rows = [("a", 1, "tool_start", "x"), ("a", 2, "tool_start", "x"), ("a", 3, "tool_start", "y"), ("a", 4, "tool_complete", "x"), ("b", 1, "tool_start", "x"), ("b", 2, "tool_error", "x"), ("a", 5, "tool_start", "x"), ("a", 6, "done", None)]
+    events = spark.createDataFrame([(s, n, e, t, None) for s, n, e, t in rows], "session_id string, seq long, event string, tool string, text string")
+    events.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).json(str(tmp_path / "in"))
+    q = E.tool_stream(stream).writeStream.format("memory").queryName("tools").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("tools").collect()), key=str) == sorted(map(tuple, E.tool_calls(events).collect()), key=str)
+
+
+def test_a_new_request_replaces_the_run_under_way(spark):
+    rows = [("a", 1, "r1", "token"), ("a", 2, "r1", "token"), ("a", 3, "r2", "token"), ("a", 4, "r1", "done"), ("b", 1, "r9", "done")]
+    df = spark.createDataFrame(rows, "session_id string, seq long, run_id string, event string")
+    assert sorted((r["session_id"], r["seq"]) for r in E.latest_run(df).collect()) == [("a", 3), ("b", 1)]
+
+
+def test_too_many_files(spark):
+    rows = [("a", i, "text/plain", 10) for i in range(6)] + [("b", 0, "text/plain", 10), ("b", 1, "image/bmp", 10)]
+    df = spark.createDataFrame(rows, "message_id string, seq int, mime string, size long")
+    got = {(r["message_id"], r["seq"]): r["problem"] for r in sessions.upload_verdicts(df).collect()}
+    assert all(got["a", i] == "too many files" for i in range(6)) and got["b", 0] is None and got["b", 1] == "unsupported type"
