@@ -20,12 +20,13 @@ contenders carry their common prefix with the last output: it never compares kno
 yields the common prefixes of the merged order. Within a group that shares a core, the windows'
 right parts are read off these, the left parts off hashes of the bytes before.
 
-No key is a hot task: a run sends each distinct suffix once, so copies do not pile up; a core of
-very many distinct surroundings (a passage pasted everywhere) is dealt out three ways, by what the
-windows near its start, around it and near its end must have in common (see ``MODES``). What is
-left to one task are the distinct surroundings of a hot core that agree in 4 bytes before and 54
-from its start on; such a group is looked at one window offset at a time, at about ``REACH`` bytes
-and one Python tuple an entry.
+No key is a hot task: a run sends each distinct suffix once, so copies do not pile up, and equal
+suffixes of several runs are answered as they meet. A core of very many surroundings (a passage
+pasted everywhere) is dealt out by the offsets of the windows around it: those of offsets a to b
+agree in a bytes before the core and ``LENGTH`` - b from its start on, and their suffixes are cut to
+what such windows hold. Wherever more than ``HOT`` distinct suffixes agree in that, the offsets are
+halved (see ``OFFSETS``), down to two, whose suffixes differ in one byte at either end. So no group
+holds many more than 2**16 distinct suffixes.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes keep everything; rows
 that share an id, or have none, are documents of their own, and copies of each other if their
@@ -35,6 +36,7 @@ length are read ``SLICE`` bytes at a time for their anchors, which are those of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -49,7 +51,7 @@ from .shingles import mix64, row_chunks, text_buffers
 
 LENGTH, CORE = 200, 50
 REACH = LENGTH - CORE  # bytes before an anchor that a window can hold
-#: Anchors of one core beyond which it is dealt out by ``MODES``.
+#: Anchors of one core, then distinct suffixes of one node, beyond which window offsets are halved.
 HOT = 50_000
 #: Bytes of suffixes in a run at most, and about those of a part; splitter samples collected at most.
 RUN_BYTES, PART_BYTES, SAMPLES = 48 << 20, 48 << 20, 20_000
@@ -59,10 +61,19 @@ PAIRWISE = 64
 CHUNK = 1 << 18
 #: Bytes of one text whose anchors are found together.
 SLICE = 1 << 20
-#: Ways to deal out a hot core. Each holds the windows of some offsets of the anchor, needs their
-#: common bytes to be dealt by, and cuts suffixes (left, right) to what these windows hold:
-#: 1: at most 3 bytes left; 2: 4 or more left and 54 right; 3: 147 or more left.
-MODES = {1: (3, LENGTH), 2: (REACH, LENGTH), 3: (REACH, LENGTH - REACH + 3)}
+
+
+def _halves(node: int, first: int, last: int) -> dict[int, tuple[int, int]]:
+    out = {node: (first, last)}
+    if last - first > 1:
+        middle = (first + last) // 2
+        out |= _halves(2 * node, first, middle) | _halves(2 * node + 1, middle + 1, last)
+    return out
+
+
+#: The first and last window offset of each node by which hot cores are dealt; node n is halved into
+#: 2n and 2n + 1, down to two offsets. All fit a byte; node 0 is for cores that are not hot.
+OFFSETS = _halves(1, 0, REACH)
 _POSITION = (1 << 28) - 1
 
 
@@ -258,37 +269,56 @@ def agreement(group: list[tuple]) -> list[tuple[int, int]]:
     return list(zip(most_left.tolist(), most_right.tolist(), strict=True))
 
 
-def _make_runs(splitters: list[bytes], parts: int):
-    """Texts with their anchors to coded parts of sorted runs, and repeats found inside a run."""
-
-    def flush(entries: list[tuple[bytes, bytes, int, int]]):
-        entries.sort()
-        by_part: dict[int, list] = {}
-        spans: list[tuple[int, int, int]] = []
-        i = 0
-        while i < len(entries):
-            key, left, *_ = entries[i]
-            j = i + 1
-            while j < len(entries) and entries[j][0] == key and entries[j][1] == left:
-                j += 1
-            if j > i + 1 and len(key) - 1 + len(left) >= LENGTH:
-                spans += [(row, at - len(left), at + len(key) - 1) for _, _, row, at in entries[i:j]]
-            mode = key[0]
-            if mode == 0:
-                part = bisect_right(splitters, key[1 : 1 + CORE])
-            else:
-                by = {1: key[1 : 1 + LENGTH - 3], 2: key[1 : 5 + CORE] + left[:4], 3: key[1 : 1 + CORE] + left[: REACH - 3]}[mode]
-                part = int.from_bytes(hashlib.blake2b(by, digest_size=8).digest(), "big") % parts
-            # One of equal entries stands for all; if they are repeats already it needs no answer.
-            by_part.setdefault(part, []).append((key, left, entries[i][2], entries[i][3] if j == i + 1 else -1))
-            i = j
-        n, blobs = len(by_part), [code_run(run) for run in by_part.values()]
-        none = [None] * n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*by_part, *[None] * len(spans)], pa.int32()), pa.array([*blobs, *[None] * len(spans)], pa.binary()),
-             *(pa.array([*none, *[s[k] for s in spans]], pa.int64()) for k in range(3))],
-            ["part", "run", "row", "start", "end"],
-        )
+def _grouped(entries: list[tuple[bytes, bytes, int, int]]):
+    """Sorted, one of each (key, left, row, at) that are equal, and the spans of those that are several.
+
+    One that stands for several has place -1: they are repeats already and need no answer.
+    """
+    entries.sort()
+    kept, spans = [], []
+    i = 0
+    while i < len(entries):
+        key, left, row, at = entries[i]
+        j = i + 1
+        while j < len(entries) and entries[j][0] == key and entries[j][1] == left:
+            j += 1
+        if j > i + 1:
+            spans += [(r, a - len(left), a + len(key) - 1) for _, _, r, a in entries[i:j] if a >= 0]
+            at = -1
+        kept.append((key, left, row, at))
+        i = j
+    return kept, spans
+
+
+def _coded(entries: list[tuple[bytes, bytes, int, int]], part_of) -> pa.RecordBatch:
+    """A run of each part, the entries of hot cores as they are, and repeats found at once."""
+    kept, spans = _grouped(entries)
+    by_part: dict[int, list] = {}
+    hot = []
+    for entry in kept:
+        part = part_of(entry[0], entry[1])
+        if part is None:
+            hot.append(entry)
+        else:
+            by_part.setdefault(part, []).append(entry)
+    p, h, n = len(by_part), len(hot), len(spans)
+    columns = [
+        pa.array([*by_part, *[None] * (h + n)], pa.int32()), pa.array([*map(code_run, by_part.values()), *[None] * (h + n)], pa.binary()),
+        pa.array([*[None] * p, *[e[2] for e in hot], *[x[0] for x in spans]], pa.int64()),
+        pa.array([*[None] * p, *[e[3] for e in hot], *[x[1] for x in spans]], pa.int64()), pa.array([*[None] * (p + h), *[x[2] for x in spans]], pa.int64()),
+        pa.array([*[None] * p, *[e[1] for e in hot], *[None] * n], pa.binary()), pa.array([*[None] * p, *[e[0][1:] for e in hot], *[None] * n], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["part", "run", "row", "start", "end", "left", "right"])
+
+
+_RUNS = "part int, run binary, row long, start long, end long, left binary, right binary"
+
+
+def _make_runs(splitters: list[bytes]):
+    """Texts with their anchors to coded parts of sorted runs, distinct suffixes of hot cores, and repeats found inside a run."""
+
+    def part_of(key, left):
+        return None if key[0] else bisect_right(splitters, key[1 : 1 + CORE])
 
     def make(batches):
         entries, size = [], 0
@@ -302,26 +332,72 @@ def _make_runs(splitters: list[bytes], parts: int):
                     at, hot = place >> 1, place & 1
                     right = bytes(body[b + at : min(b + at + LENGTH, e)])
                     left = bytes(body[max(b, b + at - REACH) : b + at])[::-1]
-                    if not hot:
-                        entries.append((b"\0" + right, left, row, at))
-                        size += len(right) + len(left)
-                    else:
-                        for mode, (most_left, most_right) in MODES.items():
-                            if (mode == 1 and len(right) < LENGTH - 3) or (mode == 2 and (len(left) < 4 or len(right) < CORE + 4)) or (mode == 3 and len(left) < REACH - 3):
-                                continue
-                            entries.append((bytes([mode]) + right[:most_right], left[:most_left], row, at))
-                            size += len(right) + len(left)
+                    entries.append(((b"\1" if hot else b"\0") + right, left, row, at))
+                    size += len(right) + len(left)
                     if size > RUN_BYTES:
-                        yield from flush(entries)
+                        yield _coded(entries, part_of)
                         entries, size = [], 0
         if entries:
-            yield from flush(entries)
+            yield _coded(entries, part_of)
+        del entries
+        trim()
+
+    return make
+
+
+def _make_hot_runs(first: int, parts: int):
+    """Suffixes dealt by nodes to runs of the parts from ``first`` on."""
+
+    def part_of(key, left):
+        a, b = OFFSETS[key[0]]
+        return first + int.from_bytes(hashlib.blake2b(key[: 1 + LENGTH - b] + left[:a], digest_size=8).digest(), "big") % parts
+
+    def make(batches):
+        entries, size = [], 0
+        for batch in batches:
+            for node, right, left, row, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entries.append((bytes([node]) + right, left, row, at))
+                size += len(right) + len(left)
+                if size > RUN_BYTES:
+                    yield _coded(entries, part_of)
+                    entries, size = [], 0
+        if entries:
+            yield _coded(entries, part_of)
         del entries
         trim()
 
     return make
 
 
+def _deal(hot: DataFrame) -> list[DataFrame]:
+    """Suffixes of hot cores (``row, at, left, right``) by nodes, each cut to the windows of its node.
+
+    What agrees in a node's common bytes is one group of the merge if it has ``HOT`` distinct
+    suffixes at most; else its offsets are halved. Equal windows take the same way, as all that
+    decides is common to them. Groups with nothing to be answered are left out.
+    """
+    first, last = (F.element_at(F.array(*(F.lit(OFFSETS.get(n, (0, 0))[k]) for n in range(1, 256))), F.col("node")) for k in (0, 1))
+    whole = [n for n, (a, b) in OFFSETS.items() if b - a <= 1]
+    live, dealt = hot.select("row", "at", "left", "right", F.lit(1).alias("node")), []
+    while True:
+        live = live.select("row", "at", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"), "left", "right")
+        live = live.select("row", "at", "node", F.substring("left", F.lit(1), last).alias("left"), F.substring("right", F.lit(1), LENGTH - first).alias("right"))
+        live = live.where((F.length("left") >= first) & (F.length("right") >= LENGTH - last) & (F.length("left") + F.length("right") >= LENGTH))
+        head = F.format_string("%d,%d,", F.col("node"), F.length("left")).cast("binary")
+        live = live.select(
+            "*", F.unhex(F.md5(F.concat(F.col("node").cast("string").cast("binary"), F.substring("left", F.lit(1), first), F.substring("right", F.lit(1), LENGTH - last)))).alias("key"),
+            F.unhex(F.md5(F.concat(head, F.col("left"), F.col("right")))).alias("suffix"),
+        )
+        alike = live.groupBy("key", "node", "suffix").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("most"))
+        groups = alike.groupBy("key", "node").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.count(F.lit(1)).alias("distinct"))
+        groups = stage(groups.where("n > 1 AND most >= 0").select("key", ((F.col("distinct") > HOT) & ~F.col("node").isin(whole)).alias("halve")), "hot-groups")
+        dealt.append(stage(live.join(groups, "key").select("row", "at", "node", "left", "right", "halve"), "dealt"))
+        drop(groups)
+        live = dealt[-1].where("halve")
+        if live.isEmpty():
+            return dealt
+
+
 def _merge_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [read_run(blob.as_py()) for batch in batches for blob in batch.column("run")]
     spans: list[tuple[int, int, int]] = []
@@ -333,11 +409,21 @@ def _merge_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
                     spans.append((row, at - left, at + right))
 
     group: list[tuple] = []
+    alike: dict[bytes, int] = {}  # by their lefts, the places in the group of those of one key
     for entry in merge_runs(runs):
-        if entry[0] <= CORE:
+        shared, key, left, row, at = entry
+        if shared <= CORE:
             close(group)
             group = []
-        group.append(entry)
+        if not group or shared < len(key) or len(key) != len(group[-1][1]):
+            alike = {}
+        i = alike.setdefault(left, len(group))
+        if i == len(group):
+            group.append(entry)
+            continue
+        # Equal suffixes of several runs are all repeats, and one is enough to compare others with.
+        spans += [(r, a - len(left), a + len(key) - 1) for r, a in (group[i][3:], (row, at)) if a >= 0]
+        group[i] = (*group[i][:4], -1)
     close(group)
     columns = list(zip(*spans, strict=True)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "end"])
@@ -350,18 +436,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     every = found.select("row", F.explode(F.arrays_zip("at", "core")).alias("a")).select("row", "a.at", "a.core")
     # Staged, so that both sides of the join below are plain exchanges and a hot core is split.
     counts = stage(every.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
-    entries = counts.agg(F.sum(F.when(F.col("n") > HOT, F.col("n") * len(MODES)).otherwise(F.col("n")))).first()[0] or 0
-    parts = max(2 * partitions(spark), entries * (LENGTH + REACH) // PART_BYTES)
-    repeated = every.join(counts, "core").groupBy("row").agg(F.collect_list(F.col("at") * 2 + (F.col("n") > HOT).cast("long")).alias("places"))
-    runs = stage(
-        texts.join(repeated, "row").select("row", "text", "places")
-        .mapInArrow(_make_runs(_splitters(found, counts, parts), parts), "part int, run binary, row long, start long, end long"),
-        "runs",
-    )
+    hot = F.col("n") > HOT
+    entries, any_hot = counts.agg(F.sum(F.when(~hot, F.col("n"))), F.coalesce(F.bool_or(hot), F.lit(False))).first()
+    parts = max(2 * partitions(spark), (entries or 0) * (LENGTH + REACH) // PART_BYTES)
+    repeated = every.join(counts, "core").groupBy("row").agg(F.collect_list(F.col("at") * 2 + hot.cast("long")).alias("places"))
+    runs = stage(texts.join(repeated, "row").select("row", "text", "places").mapInArrow(_make_runs(_splitters(found, counts, parts)), _RUNS), "runs")
     drop(found, counts)
-    merged = runs.where("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge_part, "row long, start long, end long")
-    spans = stage(runs.where("run IS NULL").select("row", "start", "end").unionByName(merged), "spans")
-    drop(runs)
+    every_run = runs
+    if any_hot:
+        dealt = _deal(runs.where("right IS NOT NULL").select("row", F.col("start").alias("at"), "left", "right"))
+        of_hot = functools.reduce(DataFrame.unionByName, dealt).where("NOT halve").select("node", "right", "left", "row", "at")
+        more = 1 + of_hot.count() * (LENGTH + REACH) // PART_BYTES
+        hot_runs = stage(of_hot.mapInArrow(_make_hot_runs(parts, more), _RUNS), "hot-runs")
+        drop(*dealt)
+        every_run = runs.unionByName(hot_runs)
+    merged = every_run.where("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge_part, "row long, start long, end long")
+    spans = stage(every_run.where("end IS NOT NULL").select("row", "start", "end").unionByName(merged), "spans")
+    drop(runs, *([hot_runs] if any_hot else []))
     return spans
 
 

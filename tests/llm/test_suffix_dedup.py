@@ -53,6 +53,45 @@ def test_against_brute_force(spark, monkeypatch, hot):
         assert run(spark, texts) == brute(texts)
 
 
+def pasted(seed, n):
+    """A passage between surroundings that share some bytes beside it, in ``n`` texts."""
+    rng = random.Random(seed)
+
+    def letters(k):
+        return "".join(rng.choice("abcdefgh ") for _ in range(k))
+
+    passage, before, after = letters(450), letters(40), letters(40)
+    return [letters(160) + before[rng.randint(0, 40) :] + passage + after[: rng.randint(0, 40)] + letters(160) for _ in range(n)]
+
+
+@pytest.mark.parametrize("run_bytes", [48 << 20, 5000])
+def test_passages_pasted_everywhere(spark, monkeypatch, run_bytes):
+    monkeypatch.setattr(S, "HOT", 5)
+    monkeypatch.setattr(S, "RUN_BYTES", run_bytes)
+    texts = pasted(8, 80)
+    assert run(spark, texts) == brute(texts)
+
+
+def test_groups_of_hot_cores_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 10)
+    core = 200
+    rows = [(i, core, t[160:][:core][::-1][: S.REACH].encode(), t[160:][core : core + S.LENGTH].encode()) for i, t in enumerate(pasted(9, 120))]
+    hot = spark.createDataFrame(rows, "row long, at long, left binary, right binary")
+    groups = collections.defaultdict(set)
+    for level in S._deal(hot):
+        for r in level.where("NOT halve").collect():
+            a, b = S.OFFSETS[r["node"]]
+            assert len(r["left"]) <= b and len(r["right"]) <= S.LENGTH - a
+            groups[r["node"], bytes(r["left"][:a]), bytes(r["right"][: S.LENGTH - b])].add((bytes(r["left"]), bytes(r["right"])))
+    assert groups and all(len(found) <= 10 or S.OFFSETS[key[0]][1] - S.OFFSETS[key[0]][0] <= 1 for key, found in groups.items())
+
+
+def test_nodes_hold_every_window_offset_once():
+    halves = [v for n, v in S.OFFSETS.items() if 2 * n not in S.OFFSETS]
+    assert sorted(o for a, b in halves for o in range(a, b + 1)) == list(range(S.REACH + 1))
+    assert max(S.OFFSETS) < 256 and all(b - a <= 1 for a, b in halves)
+
+
 def test_small_pairwise_limit(spark, monkeypatch):
     monkeypatch.setattr(S, "PAIRWISE", 1)
     texts = corpus(3)
