@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, suffix_dedup, url_filter, vector_dedup
+from . import bpe_codec, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, suffix_dedup, url_filter, vector_dedup
 from .common import table
 
 
@@ -53,8 +53,14 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark, sf_dir):
+    _, ranks, pattern = tokenizer_files()
+    encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents"), (ranks, pattern))
+    return bpe_codec.digests(bpe_codec.decode_ids(encoded, ranks))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join, op11_bpe_codec)}
 
 
 def oracle_sql():
