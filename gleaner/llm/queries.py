@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, suffix_dedup, url_filter, vector_dedup
+from . import bpe_codec, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, pii, suffix_dedup, token_align, url_filter, vector_dedup
 from .common import table
 
 
@@ -59,8 +59,14 @@ def op11_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(bpe_codec.decode_ids(encoded, ranks))
 
 
+def op12_token_align(spark, sf_dir):
+    import public_tokenizers
+
+    return token_align.align(table(spark, sf_dir, "documents"), tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join, op11_bpe_codec)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_vector_dedup, op3_packing, op4_pii, op5_html_extract, op6_language_id, op7_mixing, op8_exact_dedup, op9_url_filter, op10_ngram_join, op11_bpe_codec, op12_token_align)}
 
 
 def oracle_sql():

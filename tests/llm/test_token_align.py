@@ -1,0 +1,125 @@
+"""Operator 12 against a plain version: ranges of bytes compared pair by pair."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from gleaner.llm import queries, token_align
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+FILES = (A, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    """Rows of the contract, from the libraries alone."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ta, tb = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    ta.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def spans(tokens, ids):
+        at, out = 0, []
+        for token, i in zip(tokens, ids, strict=True):
+            out.append((at, at + len(token), i))
+            at += len(token)
+        return out
+
+    def run(rows):
+        docs, counts, highest = [], Counter(), defaultdict(int)
+        for doc_id, text in rows:
+            a = b = []
+            if text:
+                found = ta.encode(" " + text, add_special_tokens=False)
+                a = spans([bytes(letters[c] for c in t) for t in found.tokens], found.ids)
+                ids = tb.encode(text)
+                b = spans([bytes([int(p[3:5], 16)]) if tb.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, tb.id_to_piece(ids), strict=True)], ids)
+                spelt = (" " + text).encode()
+                told = [b"".join(spelt[s:e] for s, e, _ in side) for side in (a, b)]
+                if a[-1][1] != len(spelt) or b[-1][1] != len(spelt) or told[0] != spelt or tb.decode(ids) != text:
+                    a = b = []
+            links = [(x[2], y[2]) for x in a for y in b if x[0] < y[1] and y[0] < x[1]]
+            counts.update(links)
+            cuts = sorted({e for _, e, _ in a} & {e for _, e, _ in b})
+            groups = []
+            for lo, hi in zip([0, *cuts], cuts, strict=False):
+                groups.append("|".join(",".join(str(i) for s, e, i in side if lo <= s and e <= hi) for side in (a, b)))
+            docs.append((doc_id, len(a), len(b), links, groups))
+        for (x, y), n in counts.items():
+            highest[y] = max(highest[y], n)
+        return [
+            (d, na, nb, len(g), len(ln), sum(counts[p] == highest[p[1]] for p in ln), sum(counts[p] for p in ln), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "")
+            for d, na, nb, ln, g in docs
+        ]
+
+    return run
+
+
+def ran(spark, rows, digest=True):
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, groups int")
+    return [tuple(r) for r in token_align.align(docs, FILES, B, digest=digest).collect()]
+
+
+def texts(n, seed=5):
+    rng = random.Random(seed)
+    words = ["the", "dog", "Straße", "naïve", "12345", "antidisestablishment", "中文字", "\U0001f600", "x" * 40, "don't", "--==", "é"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) + rng.choice(["", "\n", "  end", "\t."]) for _ in range(n)]
+
+
+def test_equals_a_plain_version(spark, plain):
+    rows = list(enumerate(texts(120))) + [(200, None), (201, ""), (202, " lead"), (203, "a  b"), (204, "<|endoftext|> and <s> </s> ▁ <0x41>"), (205, "ﬁ ½ \x00 \r\n"), (None, "the dog"), (3, "the dog"), (3, "the dog")]
+    assert sorted(ran(spark, rows), key=str) == sorted(plain(rows), key=str)
+
+
+def test_whole_documents_equal_a_plain_version(spark, plain):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r["text"] or "") < 3000]
+    got = token_align.align(spark.createDataFrame(docs, "doc_id long, text string"), FILES, B, digest=True).collect()
+    assert sorted(map(tuple, got)) == sorted(plain(docs))
+
+
+def test_query_covers_every_document(spark, sf_dir):
+    got = queries.op12_token_align(spark, sf_dir)
+    assert got.columns[:8] == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty() and got.count() == docs.count()
+
+
+def test_groups_as_text_and_empty_table(spark):
+    assert ran(spark, [(1, "the dog"), (2, None)], digest=False)[0][-1].count("|") == 2
+    assert ran(spark, []) == []
+
+
+def test_small_chunks_blocks_and_memory_change_nothing(spark, plain, monkeypatch):
+    rows = list(enumerate(texts(80, 9)))
+    monkeypatch.setattr(token_align, "BYTES", 300)
+    monkeypatch.setattr(token_align, "PAIRS", 50)
+    assert sorted(ran(spark, rows)) == sorted(plain(rows))
+
+
+def test_a_frequent_id_is_dealt_over_parts(spark, monkeypatch):
+    """One stripe holds nearly all links: its parts, not one task, score them."""
+    monkeypatch.setattr(token_align, "BYTES", 200)
+    docs = spark.createDataFrame([(i, "the " * 40) for i in range(400)], "doc_id long, text string").repartition(8)
+    aligned = token_align.stage(token_align.align_texts(docs, FILES, B, True), "aligned")
+    links = aligned.where("stripe IS NOT NULL")
+    counts = token_align.stage(token_align.pair_counts(links, 50_257), "pair-counts")
+    seen = []
+    original = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: seen.append(self) or original(self, *a, **k))
+    token_align.score_links(links, counts)
+    from pyspark.sql import functions as F
+
+    parts = seen[-1].where(F.col("place") == token_align.AFTER).groupBy("stripe", "part").count().collect()
+    assert max(r["count"] for r in parts) < sum(r["count"] for r in parts) / 4
+
+
+def test_counts_beyond_32_bits_are_exact():
+    pairs, sums = token_align._summed([np.array([5, 5, 7], np.uint32)], [np.array([2**40, 2**40 + 1, 3], np.int64)])
+    assert pairs.tolist() == [5, 7] and sums.tolist() == [2**41 + 1, 3]
