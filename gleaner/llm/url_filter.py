@@ -8,8 +8,8 @@ host's posterior lies above ``BOUND`` with a probability of ``SURE`` at least, t
 bound (the beta quantile at 1 - SURE) does. Outcomes are aggregated per host before any join.
 
 In the hierarchy a host stands without user, port and final dot, under its public suffix (last label,
-or one of ``SUFFIXES``) and one label more; addresses are their own suffix and domain. Outcomes of
-a host beyond ``EVIDENCE`` count in proportion, which leaves a posterior of a width below 0.02.
+or one of ``SUFFIXES``) and one label more; addresses are their own suffix and domain. All outcomes
+count, however many: the terms of the beta tail grow with the square root of a host's outcomes.
 
 The join of pages with hosts has a hot key where a host has very many pages; it relies on adaptive
 execution to split that partition.
@@ -29,7 +29,9 @@ from .common import lower_ascii, stage
 
 #: (rule, verdict): host, then path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-BOUND, SURE, EVIDENCE, TERMS = 0.5, 0.95, 1000.0, 200
+BOUND, SURE = 0.5, 0.95
+#: Terms of the beta tail: so many, and so many times the square root of the larger count.
+TERMS, MORE_TERMS = 200, 8
 #: Public suffixes of two labels that are read; any other suffix is the last label.
 SUFFIXES = """
 ac.at co.at gv.at or.at com.au edu.au gov.au net.au org.au com.br gov.br net.br org.br com.cn edu.cn gov.cn net.cn org.cn com.co com.eg com.es org.es gouv.fr asso.fr com.fr
@@ -80,8 +82,9 @@ def _log_gamma(x: Column) -> Column:
 def beta_above(hosts: DataFrame, bound: float) -> DataFrame:
     """``above``: the probability that a beta variable of columns ``a`` and ``b`` exceeds ``bound``.
 
-    The distribution function by its continued fraction, from the last of ``TERMS`` terms back, on
-    the side on which it converges fast.
+    The distribution function by its continued fraction, from its last term back, on the side on which
+    it converges in a number of terms that grows with the square root of the larger of a and b. The
+    logarithms lose digits as a and b grow: about 1e-8 of the result is lost at 1e7.
     """
     right = F.lit(bound) > (F.col("a") + 1) / (F.col("a") + F.col("b") + 2)
     sided = hosts.withColumns(
@@ -95,7 +98,7 @@ def beta_above(hosts: DataFrame, bound: float) -> DataFrame:
         even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
         return 1 + F.when(k % 2 == 1, odd).otherwise(even) / h
 
-    fraction = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), term)
+    fraction = F.aggregate(F.sequence(F.lit(TERMS) + (F.ceil(F.sqrt(F.greatest(p, q))) * MORE_TERMS).cast("int"), F.lit(1), F.lit(-1)), F.lit(1.0), term)
     below = F.exp(p * F.log(y) + q * F.log(1 - y) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p / fraction
     return sided.withColumn("above", F.when(F.col("right"), below).otherwise(1 - below))
 
@@ -133,9 +136,8 @@ def host_reputation(outcomes: DataFrame, bound: float = BOUND) -> DataFrame:
     p = ((moments["host"]["x"] or 0.0) + 0.5) / ((moments["host"]["n"] or 0.0) + 1)
     suffix = suffixes.select("suffix", ((F.col("x") + m["suffix"] * p) / (F.col("n") + m["suffix"])).alias("prior"))
     domain = domains.join(suffix, "suffix").select("domain", ((F.col("x") + m["domain"] * F.col("prior")) / (F.col("n") + m["domain"])).alias("prior"))
-    seen = F.least(F.lit(1.0), F.lit(EVIDENCE) / (F.col("n") + m["host"]))
     host = hosts.join(domain, "domain").select(
-        "host", ((F.col("x") + m["host"] * F.col("prior")) * seen).alias("a"), ((F.col("n") - F.col("x") + m["host"] * (1 - F.col("prior"))) * seen).alias("b")
+        "host", (F.col("x") + m["host"] * F.col("prior")).alias("a"), (F.col("n") - F.col("x") + m["host"] * (1 - F.col("prior"))).alias("b")
     )
     return beta_above(host, bound).select("host", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), "above")
 
@@ -192,12 +194,12 @@ g AS (SELECT (sum(x) + 0.5::DOUBLE) / (sum(n) + 1) AS p FROM f),
 {_sql_concentration("f", "mf")}, {_sql_concentration("d", "md")}, {_sql_concentration("h", "mh")},
 pf AS (SELECT suffix, (x + mf.m * p) / (n + mf.m) AS p FROM f, g, mf),
 pd AS (SELECT domain, (x + md.m * pf.p) / (n + md.m) AS p FROM d JOIN pf USING (suffix), md),
-pa AS (SELECT host, (x + mh.m * pd.p) * least(1.0::DOUBLE, {EVIDENCE}::DOUBLE / (n + mh.m)) AS a, (n - x + mh.m * (1 - pd.p)) * least(1.0::DOUBLE, {EVIDENCE}::DOUBLE / (n + mh.m)) AS b FROM h JOIN pd USING (domain), mh),
+pa AS (SELECT host, x + mh.m * pd.p AS a, n - x + mh.m * (1 - pd.p) AS b FROM h JOIN pd USING (domain), mh),
 ps AS (SELECT *, {BOUND}::DOUBLE > (a + 1) / (a + b + 2) AS far FROM pa),
 pq AS (SELECT host, far, CASE WHEN far THEN b ELSE a END AS p, CASE WHEN far THEN a ELSE b END AS q, CASE WHEN far THEN 1 - {BOUND}::DOUBLE ELSE {BOUND}::DOUBLE END AS y FROM ps),
 pf2 AS (
   SELECT host, far, exp(p * ln(y) + q * ln(1 - y) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p / list_reduce(
-    list_prepend(1.0::DOUBLE, list_transform(range({TERMS}, 0, -1), lambda k: k::DOUBLE)),
+    list_prepend(1.0::DOUBLE, list_transform(range({TERMS} + {MORE_TERMS} * ceil(sqrt(greatest(p, q)))::BIGINT, 0, -1), lambda k: k::DOUBLE)),
     lambda h, k: 1 + CASE WHEN k % 2 = 1 THEN -(p + (k - 1) / 2) * (p + q + (k - 1) / 2) * y / ((p + k - 1) * (p + k)) ELSE k / 2 * (q - k / 2) * y / ((p + k - 1) * (p + k)) END / h) AS below
   FROM pq),
 b AS (SELECT host, CASE WHEN far THEN below ELSE 1 - below END AS above FROM pf2)
