@@ -1,8 +1,8 @@
 """Operator 3, best-fit packing of documents into sequences (best two fit).
 
 Texts become ids once, in a map over whole texts; a document longer than a sequence is cut into
-full sequences with the shorter piece first. Only lengths are packed: pieces are dealt by a hash
-into groups of about ``GROUP`` pieces (so each group has the whole mix of lengths and fits one
+full sequences with the shorter piece first. Only lengths are packed: pieces are dealt by a hash of
+a number that is written with each into groups of about ``GROUP`` pieces (so each group has the whole mix of lengths and fits one
 task), full pieces are sequences of their own, and each group is packed on its own. A bin is
 filled greedily with the largest piece that fits; then its smallest piece gives way to two
 unpacked pieces that fit the widened gap more tightly, if such two exist.
@@ -124,21 +124,22 @@ def pack_lengths(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str | None, str | None], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    pieces = stage(pieces_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length), "pieces")
+    cut = pieces_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer, length)
+    pieces = stage(cut.withColumn("number", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == length
     groups = max(1, -(-pieces.where(~full).count() // GROUP))
 
     def pack_group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("number", "ascending")])
         bins, offsets = pack_lengths(table["length"].to_numpy(), length)
         group = table["group"][0].as_py()
-        rest = table.drop_columns(["group"])
+        rest = table.drop_columns(["number", "group"])
         return rest.append_column("sequence_id", pa.array(2 * (bins * groups + group), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     mixed = (
-        pieces.where(~full).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        pieces.where(~full).withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
         .groupBy("group").applyInArrow(pack_group, schema)
     )
-    alone = pieces.where(full).withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")})
+    alone = pieces.where(full).drop("number").withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")})
     return mixed.unionByName(alone)
