@@ -9,7 +9,9 @@ the comparison of neighbours are over the whole texts.
 
 A text whose copies would fill a good part of a range partition, or many of them, is seen in a
 sample of the rows. Only the copies of such hot texts get a salt, are dealt over many ranges, and
-their per-salt winners, a few slim rows a text, meet in a second step by digest.
+their per-salt winners, a few slim rows a text, meet in a second step by digest. The salt is that of a
+row's key, or of a number written with the rows of hot texts, so that rows which share their id and
+text part as well.
 
 Defined results: null text counts as empty; rows with equal id and text are one group in which
 one row stays; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +36,7 @@ def _hot_marks(rows: DataFrame, n: int) -> list[int]:
     """Hashes of the texts that fill half a partition's share of a sample: fewer than 2 n."""
     total = rows.count()
     least = 1 << 30 if total <= SAMPLE else int(SAMPLE / total * (1 << 30)) + 1
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < least)
+    sample = rows.where(F.rand(8) * (1 << 30) < least)
     seen = sample.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))
     return [r["mark"] for r in seen.where(F.col("copies") > max(HOT, min(total, SAMPLE) // (2 * n))).select("mark").collect()]
 
@@ -49,10 +51,15 @@ def sorted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*key, F.col(id_col).alias("doc_id"), F.translate(text, WHITE_SPACE, "").alias("norm"), F.length(text).alias("n_chars")).withColumn("mark", F.xxhash64("norm"))
     hot = _hot_marks(rows, n)
-    salt = F.when(F.col("mark").isin(hot), F.pmod(F.xxhash64("doc_id", *key), F.lit(max(SALTS, n))) + 1).otherwise(0) if hot else F.lit(0)
+    rows = rows.withColumn("salt", F.lit(0))
+    if hot:
+        is_hot = F.col("mark").isin(hot)
+        copies = rows.where(is_hot).withColumn("number", F.col(row_col) if row_col else F.monotonically_increasing_id())
+        copies = copies if row_col else stage(copies, "hot-copies")
+        rows = rows.where(~is_hot).unionByName(copies.withColumn("salt", (F.pmod(F.xxhash64("number"), F.lit(max(SALTS, n))) + 1).cast("int")).drop("number"))
     # A constant among the sort keys would cost the windows a second shuffle of the texts.
     by = ["head", "mark", *["salt"] * bool(hot)]
-    sorted_rows = rows.withColumns({"salt": salt.cast("int"), "head": F.substring("norm", 1, SPLITTER)}).repartitionByRange(n, *by)
+    sorted_rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER)).repartitionByRange(n, *by)
     run = Window.partitionBy(*by, "norm")
     best = run.orderBy(F.desc("n_chars"), "doc_id", *key)
     return sorted_rows.select(
