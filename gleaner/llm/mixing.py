@@ -10,8 +10,10 @@ prefix sums over chunks (of 4096 slots, of 4096 hash ranges a source) and over g
 chunks, so a hot source is spread out.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own,
-last; a null id is hashed as an empty one; repeated rows are documents of their own; an empty table gives an empty result. The order
-of documents is that of a digest of their id, so reruns agree.
+last; repeated rows, and rows without an id, are documents of their own; an empty table gives an empty
+result. The order of documents is that of a digest of their id, so reruns agree; where ids repeat or
+are null it is that of the id with a number written with each row, so that no such rows fill one hash
+range (reruns then agree as long as the table is split alike).
 """
 
 from __future__ import annotations
@@ -105,14 +107,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(
             *row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("key"),
-            words_of(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
-        ).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
+            words_of(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("number"),
+        ),
         "mix",
     )
+    own = F.col("number" if row_col else "doc_id").cast("string")
+    if not row_col and not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        own = F.concat(F.coalesce(own, F.lit("")), F.lit(":"), F.col("number").cast("string"))
+    rows = rows.withColumn("h", F.md5(own.cast("binary"))).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("words"))
     targets = stage(source_targets(ranges.groupBy("key", "source").agg(F.sum("words").alias("source_size"))), "targets")
     starts = ranges.select("key", "range", (F.sum("words").over(Window.partitionBy("key").orderBy("range")) - F.col("words")).alias("start"))
-    inside = Window.partitionBy("key", "range").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "range").orderBy("h", "doc_id", "size", "number").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(starts.hint("merge"), ["key", "range"]).select(
         *row, "doc_id", "key", "size", (F.col("start") + F.sum("size").over(inside) - F.col("size")).alias("at")
     )
