@@ -112,24 +112,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of an undirected edge table ``(a, b)`` of longs.
 
     Alternating large-star and small-star contraction: every round only rewires edges to the
-    smallest neighbour, so the table never grows, and O(log) rounds suffice on the shallow
-    groups that near-duplicates form. Minima are partially aggregated before the shuffle, so a
-    hot vertex is no hot task there, and the join that hands them back is an ordinary equi-join
-    that adaptive execution may split. Returns ``(node, component)`` for every node of an edge,
+    smallest neighbour, so the table never grows, and rounds go on until nothing changes: few on the
+    shallow groups that near-duplicates form, O(log**2) of the nodes on any graph. Minima are partially
+    aggregated before the shuffle, so a hot vertex is no hot task there, and staged: the join that
+    hands them back is then one of two tables, in which adaptive execution can split a hot vertex. Returns ``(node, component)`` for every node of an edge,
     ``component`` being the smallest node reachable. No edge or label is collected.
     """
     here = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label
     )
-    for _ in range(rounds):
+    while True:
         both = here.unionByName(here.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        smallest = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), label)
         large = both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large, label)
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), label)
         small = (
             large.join(low, "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -139,11 +140,9 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         # A fixpoint is reached once every node points straight at a root that points nowhere.
         chained = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         several = new.groupBy("a").count().where("count > 1").limit(1).count()
-        release([here._staged_path])
+        release([t._staged_path for t in (here, smallest, large, low)])
         here = new
         if not chained and not several:
             break
-    else:
-        raise RuntimeError("components did not converge")
     roots = here.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return here.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
