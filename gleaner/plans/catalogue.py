@@ -95,7 +95,7 @@ def mime_dispatch(spark, sf_dir):
     return rows.select("*", T.ending(F.col("filepath")).alias("ending"), T.mime_of(F.col("filepath")).alias("mime"), T.ending(F.col("filepath")).isin(*FILE_TYPES).alias("ingested"))
 
 
-def _chunk_sql(source: str, size: int, overlap: int) -> str:
+def chunk_sql(source: str, size: int, overlap: int) -> str:
     """Fixed-size chunks of ``SELECT doc_id, text`` by a recursive walk over cut positions."""
 
     def rfind(sep: str) -> str:
@@ -121,17 +121,17 @@ def _fixed(spark, sf_dir, size, overlap):
     return docs.select("doc_id", F.posexplode(T.chunk_fixed(F.col("text"), size, overlap)).alias("chunk_index", "text"))
 
 
-@query(_chunk_sql("SELECT doc_id, text FROM documents", 500, 50))
+@query(chunk_sql("SELECT doc_id, text FROM documents", 500, 50))
 def chunk_fixed(spark, sf_dir):
     return _fixed(spark, sf_dir, 500, 50)
 
 
-@query(_chunk_sql("SELECT doc_id, text FROM documents", 60, 15))
+@query(chunk_sql("SELECT doc_id, text FROM documents", 60, 15))
 def chunk_fixed_small(spark, sf_dir):
     return _fixed(spark, sf_dir, 60, 15)
 
 
-@query(_chunk_sql("SELECT doc_id, text FROM documents", 300, 0))
+@query(chunk_sql("SELECT doc_id, text FROM documents", 300, 0))
 def chunk_fixed_hardcut(spark, sf_dir):
     return _fixed(spark, sf_dir, 300, 0)
 
@@ -145,7 +145,7 @@ WITH md AS ({_MD}),
 cut AS (SELECT doc_id, string_split(regexp_replace(text, '\\n([^\\S\\n]*#{{1,6}} [^\\n]*\\S)', chr(1) || '\\1', 'g'), chr(1)) AS s FROM md),
 sec AS (SELECT doc_id, unnest(list_transform(s, lambda x: trim(x, {_WS}))) AS text, unnest(range(len(s))) AS n FROM cut),
 one AS (SELECT doc_id * 1000 + n AS doc_id, text FROM sec WHERE text <> ''),
-chunks AS ({_chunk_sql("SELECT doc_id, text FROM one", 500, 50)})
+chunks AS ({chunk_sql("SELECT doc_id, text FROM one", 500, 50)})
 SELECT doc_id // 1000 AS doc_id, (row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, chunk_index) - 1)::INT AS chunk_index, text FROM chunks"""
 )
 def chunk_markdown(spark, sf_dir):
@@ -168,21 +168,21 @@ def chunk_semantic(spark, sf_dir):
     return ingest.chunk_documents(docs, "semantic", vectors=lambda parts: F.transform(parts, embed), threshold=0.75)
 
 
-def _uuid5_sql(namespace: str, name: str) -> str:
+def uuid5_sql(namespace: str, name: str) -> str:
     h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
     return (f"({h})[1:8] || '-' || ({h})[9:12] || '-5' || ({h})[14:16] || '-' || "
             f"('89ab')[(instr('0123456789abcdef', ({h})[17:17]) - 1) % 4 + 1] || ({h})[18:20] || '-' || ({h})[21:32]")
 
 
 @query(f"""
-WITH c AS ({_chunk_sql("SELECT doc_id, text FROM documents", 500, 50)})
-SELECT 'doc-' || doc_id AS filepath, chunk_index, {_uuid5_sql(T.CHUNK_NAMESPACE, "'doc-' || doc_id || '_' || chunk_index")} AS chunk_id FROM c""")
+WITH c AS ({chunk_sql("SELECT doc_id, text FROM documents", 500, 50)})
+SELECT 'doc-' || doc_id AS filepath, chunk_index, {uuid5_sql(T.CHUNK_NAMESPACE, "'doc-' || doc_id || '_' || chunk_index")} AS chunk_id FROM c""")
 def chunk_ids(spark, sf_dir):
     docs = spread(read(spark, sf_dir, "documents")).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filepath"), "text")
     return ingest.chunk_documents(docs).select("filepath", "chunk_index", "chunk_id")
 
 
-@query(f"SELECT doc_id, {_uuid5_sql(T.DNS_NAMESPACE, "'documents:' || text")} AS point_id FROM documents")
+@query(f"SELECT doc_id, {uuid5_sql(T.DNS_NAMESPACE, "'documents:' || text")} AS point_id FROM documents")
 def store_ids(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.store_id(F.lit(COLLECTION), F.col("text")).alias("point_id"))
 
@@ -720,7 +720,7 @@ def model_prefix(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({_chunk_sql(f"SELECT doc_id, trim(text, {_WS}) AS text FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0", 500, 50)})
+WITH c AS ({chunk_sql(f"SELECT doc_id, trim(text, {_WS}) AS text FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0", 500, 50)})
 SELECT doc_id::VARCHAR AS filepath, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM c GROUP BY doc_id""")
 def ingest_plan(spark, sf_dir):
     scan, state = _snapshot(spark, sf_dir)
@@ -742,8 +742,8 @@ def _run(spark, sf_dir) -> tuple[DataFrame, ingest.Run]:
 
 
 @query(f"""
-WITH c AS ({_chunk_sql(f"SELECT doc_id, trim(text, {_WS}) AS text FROM documents WHERE (doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0) AND doc_id % 17 <> 0", 500, 50)})
-SELECT {_uuid5_sql(T.CHUNK_NAMESPACE, "doc_id || '_' || chunk_index")} AS id, doc_id::VARCHAR AS filepath, chunk_index, length(text)::INT AS n_chars FROM c
+WITH c AS ({chunk_sql(f"SELECT doc_id, trim(text, {_WS}) AS text FROM documents WHERE (doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0) AND doc_id % 17 <> 0", 500, 50)})
+SELECT {uuid5_sql(T.CHUNK_NAMESPACE, "doc_id || '_' || chunk_index")} AS id, doc_id::VARCHAR AS filepath, chunk_index, length(text)::INT AS n_chars FROM c
 UNION ALL SELECT 'c-' || doc_id, doc_id::VARCHAR, 0, 3 FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 17 = 0 OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0))""")
 def ingest_run(spark, sf_dir):
     """The collection after a run: stale points gone, new ones there, those of failed files as they were."""
