@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import errors, ingest, registry, search, sections, sessions, sheets
@@ -154,6 +155,21 @@ def chunk_markdown(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(T.chunk_markdown(F.col("text"))).alias("chunk_index", "text"))
 
 
+@query(ORACLE_SQL["chunk_fixed"])
+def sql_chunk_fixed(spark, sf_dir):
+    sql.register(spark, ("chunk_fixed",))
+    docs = spread(read(spark, sf_dir, "documents"))
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.text FROM {docs} d, LATERAL chunk_fixed(d.text, 500, 50) c", docs=docs)
+
+
+@query(ORACLE_SQL["chunk_markdown"])
+def sql_chunk_markdown(spark, sf_dir):
+    sql.register(spark, ("chunk_markdown",))
+    headed = "concat('# ', source, '\n', left(text, 400), '\n  ## ', lang, '\n', substring(text, 401))"
+    docs = spread(read(spark, sf_dir, "documents")).selectExpr("doc_id", f"{headed} AS text")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.text FROM {docs} d, LATERAL chunk_markdown(text => d.text, size => 500, overlap => 50) c", docs=docs)
+
+
 @query(rf"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_WS})), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, unnest(range(len(s)))::INT AS sentence_index, unnest(s) AS sentence FROM s""")
@@ -336,6 +352,16 @@ def search_dense_cosine(spark, sf_dir):
     return search.dense(points(spark, sf_dir), a_vector()).select("id", "score")
 
 
+@query(_ranked_sql(f"list_cosine_similarity(dense, {_Q})"))
+def sql_search_dense(spark, sf_dir):
+    """The search as a user of SQL writes it."""
+    sql.register(spark, ("cosine_similarity",))
+    return spark.sql(
+        "SELECT id, round(cosine_similarity(dense, :query), 6) AS score FROM {points} WHERE dense IS NOT NULL ORDER BY score DESC, id LIMIT 5",
+        {"query": F.array(*map(F.lit, a_vector()))}, points=points(spark, sf_dir),
+    )
+
+
 @query(_ranked_sql(f"list_inner_product(dense, {_Q})"))
 def search_dense_dot(spark, sf_dir):
     return search.dense(points(spark, sf_dir), a_vector(), metric="DOT").select("id", "score")
