@@ -30,13 +30,11 @@ def parse(buffer: Column, schema: str = "struct<text:string,tool:string,output:s
     """
     parts = F.split(buffer, "\n\n", -1)
     done = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    one = F.transform(
-        done,
-        lambda p: F.struct(
-            F.trim(F.regexp_extract(p, r"(?m)^event: (.*)$", 1)).alias("event"), F.from_json(F.trim(F.regexp_extract(p, r"(?m)^data: (.*)$", 1)), schema).alias("data")
-        ),
+    told = F.transform(
+        done, lambda p: F.struct(F.trim(F.regexp_extract(p, r"(?m)^event: (.*)$", 1)).alias("event"), F.trim(F.regexp_extract(p, r"(?m)^data: (.*)$", 1)).alias("data"))
     )
-    return F.filter(one, lambda e: e["data"].isNotNull()), F.element_at(parts, -1)
+    whole = F.filter(told, lambda e: (e["data"] != "") & F.try_parse_json(e["data"]).isNotNull())
+    return F.transform(whole, lambda e: F.struct(e["event"].alias("event"), F.from_json(e["data"], schema).alias("data"))), F.element_at(parts, -1)
 
 
 def fold_messages(events: DataFrame) -> DataFrame:

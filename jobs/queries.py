@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans.catalogue import chunk_sql, uuid5_sql
 from gleaner.functions import text as T
+from gleaner.plans.catalogue import chunk_sql, uuid5_sql
+from gleaner.plans.streams import new_folder
 from jobs import ingest_corpus, stream_sessions
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one; below the warehouse where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_ingest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{new_folder(spark, 'job1')}/store"
     for _ in range(2):
