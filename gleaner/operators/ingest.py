@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .registry import read_with, readers
 
+#: Rows that are numbered in one task.
+RANGE = 200_000
 NEW, MODIFIED, DELETED = "NEW", "MODIFIED", "DELETED"
 STATE = "filepath string, collection_name string, last_modified double, hash string, chunk_ids array<string>"
 
@@ -38,12 +40,14 @@ def detect_deltas(scan: DataFrame, state: DataFrame, collection: str) -> DataFra
     return both.select("filepath", action.alias("action")).where("action IS NOT NULL")
 
 
-def numbered(rows: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``id``, their numbers from 1 in the order of a column of distinct values.
 
     A sample's quantiles cut the column into ranges; a range's rows are numbered in a task of their
-    own, after those of the ranges before it, of which there are but ``ranges``.
+    own, after those of the ranges before it. There are ``ranges``, else one for each ``RANGE`` rows, 1024
+    at most.
     """
+    ranges = ranges or max(2, min(1024, -(-rows.count() // RANGE)))
     few = sorted(r[0] for r in rows.select(column).orderBy(F.xxhash64(column)).limit(16 * ranges).collect())
     cuts = sorted({few[len(few) * k // ranges] for k in range(1, ranges)}) if few else []
     of = F.lit(0)

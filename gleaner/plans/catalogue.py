@@ -1,7 +1,6 @@
 """The query catalogue of the core library: every query over whole tables, with its SQL.
 
-Literal tables (errors, sheets, sizes, templates) are the only inputs made up here; everything
-else reads the driver's tables. SQL is written for an engine without look-behind or
+Every query reads the driver's tables; errors, sizes, sheets and templates are derived from them. SQL is written for an engine without look-behind or
 back-references, so it states each operator a second time by other means.
 """
 
@@ -9,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql
@@ -340,7 +339,7 @@ def a_vector(n: int = 64) -> list[float]:
 
 
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in a_vector()) + "]"
-_TEXT = "the and of re ing"
+SEARCH_TEXT = "the and of re ing"
 
 
 def _ranked_sql(score: str, order: str = "DESC", vector: str = "dense", where: str = "true", limit: int = 5) -> str:
@@ -394,11 +393,11 @@ def search_projection(spark, sf_dir):
 
 @query(_ranked_sql(f"list_cosine_similarity(dense, {_Q})"))
 def search_type_sparse(spark, sf_dir):
-    return search.search(points(spark, sf_dir), a_vector(), query_text=_TEXT, search_type="sparse").select("id", "score")
+    return search.search(points(spark, sf_dir), a_vector(), query_text=SEARCH_TEXT, search_type="sparse").select("id", "score")
 
 
 _SPARSE_SQL = f"""{_TF_SQL},
-q AS (SELECT ({_bucket_sql("word", T.SPARSE_BUCKETS)})::INT AS bucket, count(*)::DOUBLE AS qtf FROM (SELECT unnest(string_split('{_TEXT}', ' ')) AS word) GROUP BY ALL)"""
+q AS (SELECT ({_bucket_sql("word", T.SPARSE_BUCKETS)})::INT AS bucket, count(*)::DOUBLE AS qtf FROM (SELECT unnest(string_split('{SEARCH_TEXT}', ' ')) AS word) GROUP BY ALL)"""
 
 
 def _sparse_hits(where: str, limit: int) -> str:
@@ -407,7 +406,7 @@ def _sparse_hits(where: str, limit: int) -> str:
 
 @query(f"WITH {_POINTS_SQL}, {_SPARSE_SQL} {_sparse_hits('true', 5)}")
 def search_sparse(spark, sf_dir):
-    return search.sparse(points(spark, sf_dir), _TEXT).select("id", "score")
+    return search.sparse(points(spark, sf_dir), SEARCH_TEXT).select("id", "score")
 
 
 def _hybrid_sql(where: str, limit: int) -> str:
@@ -421,12 +420,12 @@ SELECT id, score, text FROM f JOIN p USING (id)"""
 
 @query(_hybrid_sql("true", 10))
 def search_hybrid(spark, sf_dir):
-    return search.search(points(spark, sf_dir), a_vector(), 10, query_text=_TEXT, search_type="hybrid", answer_fields=["text"])
+    return search.search(points(spark, sf_dir), a_vector(), 10, query_text=SEARCH_TEXT, search_type="hybrid", answer_fields=["text"])
 
 
 @query(_hybrid_sql("category = 'en'", 5))
 def search_hybrid_filtered(spark, sf_dir):
-    return search.search(points(spark, sf_dir), a_vector(), 5, {"category": "en"}, _TEXT, "hybrid", ["text"])
+    return search.search(points(spark, sf_dir), a_vector(), 5, {"category": "en"}, SEARCH_TEXT, "hybrid", ["text"])
 
 
 @query("""
@@ -512,18 +511,18 @@ def file_validate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", sessions.file_verdict(mime, F.col("n_chars") * 2000).alias("problem"))
 
 
-_SIZES = [(1, "image/png", 2000, 1000), (2, "image/png", 100, 200), (3, "image/gif", 500, 500), (4, "image/png", 1024, 1024), (5, None, 333, 4444), (6, "image/png", 1025, 128), (7, "image/png", 3000, 129)]
-
-
-@query(f"""
-WITH s AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if m is None else repr(m)}, {w}, {h})" for i, m, w, h in _SIZES)}) t(image_id, mime, width, height))
-SELECT image_id, CASE WHEN coalesce(mime, 'image/png') <> 'image/png' THEN 'unsupported format' WHEN width < 128 OR height < 128 THEN 'too small' END AS problem,
+@query("""
+WITH s AS (SELECT page_id, [NULL, 'image/png', 'image/gif', 'image/png'][(page_id % 4 + 1)::INT] AS mime, (40 + length(html) * 7 % 3000)::INT AS width, (40 + page_id * 97 % 4500)::INT AS height FROM pages)
+SELECT page_id, CASE WHEN coalesce(mime, 'image/png') <> 'image/png' THEN 'unsupported format' WHEN width < 128 OR height < 128 THEN 'too small' END AS problem,
        CASE WHEN width <= 1024 AND height <= 1024 THEN width ELSE trunc(width * least(1024.0::DOUBLE / width, 1024.0::DOUBLE / height))::INT END AS new_width,
        CASE WHEN width <= 1024 AND height <= 1024 THEN height ELSE trunc(height * least(1024.0::DOUBLE / width, 1024.0::DOUBLE / height))::INT END AS new_height FROM s""")
 def image_resize_dims(spark, sf_dir):
-    rows = spark.createDataFrame(_SIZES, "image_id int, mime string, width int, height int")
+    """An image a page, of a size from its number and the length of its markup."""
+    mime = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("image/png", "image/gif", "image/png"))), (F.col("page_id") % 4 + 1).cast("int"))
+    width, height = (40 + F.length("html") * 7 % 3000).cast("int"), (40 + F.col("page_id") * 97 % 4500).cast("int")
+    rows = read(spark, sf_dir, "pages").select("page_id", mime.alias("mime"), width.alias("width"), height.alias("height"))
     new = sessions.resized(F.col("width"), F.col("height"))
-    return rows.select("image_id", sessions.image_verdict(F.col("mime"), F.col("width"), F.col("height")).alias("problem"), new["width"].alias("new_width"), new["height"].alias("new_height"))
+    return rows.select("page_id", sessions.image_verdict(F.col("mime"), F.col("width"), F.col("height")).alias("problem"), new["width"].alias("new_width"), new["height"].alias("new_height"))
 
 
 @query("""
@@ -601,12 +600,31 @@ def event_roundtrip(spark, sf_dir):
 
 # --- predicates, sheets, templates ----------------------------------------------------------
 
-_ERRORS = [
-    (1, "ReadTimeout", None, "x"), (2, "ValueError", 503, "down"), (3, "ValueError", 404, "timeout"), (4, "ValueError", None, "Resource exhausted"), (5, "ValueError", None, "404 not found"),
-    (6, "ValueError", None, "error 503 from server"), (7, "ValueError", None, "permission denied, quota"), (8, "ConnectionError", 400, ""), (9, "ValueError", None, "bad value 5031"),
-    (10, "APIConnectionError", None, ""), (11, "KeyError", None, None), (12, "ValueError", None, "RESOURCE_EXHAUSTED: 429"), (13, "HttpError", 408, "")
-]
-_ERRORS_SQL = ", ".join(f"({i}, '{c}', {'NULL' if s is None else s}, {'NULL' if m is None else repr(m)})" for i, c, s, m in _ERRORS)
+_CLASSES = ("ValueError", "ReadTimeout", "KeyError", "ConnectionError", "ValueError", "APIConnectionError", "HttpError")
+_STATUS = (None, None, 503, 404, None, 408, 400, None, 429, None, 500)
+_SAID = (
+    "Resource exhausted", "404 not found", "error 503 from server", "permission denied, quota", "", "bad value 5031", "RESOURCE_EXHAUSTED: 429", "timeout", "the service is overloaded", "Forbidden: deadline exceeded",
+    "quota", "retry after 429 s", "nothing",
+)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else repr(v) for v in values) + "]"
+
+
+_ERRORS_SQL = f"""e AS (
+  SELECT conv_id, turn, {_sql_list(_CLASSES)}[(turn % {len(_CLASSES)} + 1)::INT] AS class_name, {_sql_list(_STATUS)}[(conv_id % {len(_STATUS)} + 1)::INT] AS status,
+         {_sql_list(_SAID)}[((conv_id + turn) % {len(_SAID)} + 1)::INT] || ' ' || left(text, 40) AS message FROM conversations)"""
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as if it had failed: a class, a status or none, and a message that goes on with its text."""
+
+    def one_of(values, number) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+    said = F.concat(one_of(_SAID, F.col("conv_id") + F.col("turn")), F.lit(" "), F.left("text", F.lit(40)))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", one_of(_CLASSES, F.col("turn")).alias("class_name"), one_of(_STATUS, F.col("conv_id")).alias("status"), said.alias("message"))
 
 
 def _any_sql(column: str, terms) -> str:
@@ -614,22 +632,19 @@ def _any_sql(column: str, terms) -> str:
 
 
 @query(f"""
-WITH e AS (SELECT *, lower(coalesce(message, '')) AS m FROM (VALUES {_ERRORS_SQL}) t(error_id, class_name, status, message))
-SELECT error_id, CASE WHEN class_name IN ('TimeoutError', 'ConnectionError') OR {_any_sql("class_name", errors.CLASS_TERMS)} THEN true
+WITH {_ERRORS_SQL}, l AS (SELECT *, lower(coalesce(message, '')) AS m FROM e)
+SELECT conv_id, turn, CASE WHEN class_name IN ('TimeoutError', 'ConnectionError') OR {_any_sql("class_name", errors.CLASS_TERMS)} THEN true
   WHEN status IS NOT NULL THEN status IN {errors.RETRY_STATUS}
   WHEN {_any_sql("m", errors.DENY_TERMS)} OR regexp_matches(m, '\\b(400|401|403|404)\\b') THEN false
-  ELSE {_any_sql("m", errors.RETRY_TERMS)} OR regexp_matches(m, '\\b(500|502|503|504|429|408)\\b') END AS retryable FROM e""")
+  ELSE {_any_sql("m", errors.RETRY_TERMS)} OR regexp_matches(m, '\\b(500|502|503|504|429|408)\\b') END AS retryable FROM l""")
 def retry_classify(spark, sf_dir):
-    rows = spark.createDataFrame(_ERRORS, "error_id int, class_name string, status int, message string")
-    return rows.select("error_id", errors.retryable(F.col("class_name"), F.col("status"), F.col("message")).alias("retryable"))
+    return failures(spark, sf_dir).select("conv_id", "turn", errors.retryable(F.col("class_name"), F.col("status"), F.col("message")).alias("retryable"))
 
 
 @query(f"""
-SELECT error_id, contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') OR contains(lower(message), 'quota') AS limited
-FROM (VALUES {_ERRORS_SQL}) t(error_id, class_name, status, message) WHERE message IS NOT NULL""")
+WITH {_ERRORS_SQL} SELECT conv_id, turn, contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') OR contains(lower(message), 'quota') AS limited FROM e""")
 def rate_limit_classify(spark, sf_dir):
-    rows = spark.createDataFrame(_ERRORS, "error_id int, class_name string, status int, message string").where("message IS NOT NULL")
-    return rows.select("error_id", errors.rate_limited(F.col("message")).alias("limited"))
+    return failures(spark, sf_dir).select("conv_id", "turn", errors.rate_limited(F.col("message")).alias("limited"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -657,18 +672,27 @@ SELECT n_nationkey::BIGINT + 1 AS row_no, CASE n_nationkey WHEN 1 THEN n_nationk
   ELSE n_nationkey || '|' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '|' || n_regionkey ELSE '' END END AS cells FROM nation
 UNION ALL SELECT 26, 'last|row'""")
 def grid_write_verify(spark, sf_dir):
-    once = sheets.write_verified(grid(spark, sf_dir), "B2", [["x", "y"], ["z"]])
+    from .streams import new_folder
+
+    def store(sheet: DataFrame) -> DataFrame:
+        path = new_folder(spark, "sheet")
+        sheet.write.parquet(path)
+        return spark.read.schema(sheet.schema).parquet(path)
+
+    once = sheets.write_verified(grid(spark, sf_dir), "B2", [["x", "y"], ["z"]], store)
     return sheets.append_rows(once, [["last", "row"]]).select("row_no", F.array_join("cells", "|").alias("cells"))
 
 
-_WORDS = [(1, "der Hund"), (2, "Die Straße"), (3, "laufen"), (4, "des Kaisers neue Kleider"), (5, "der der Weg!")]
+_ARTICLES = ("der ", "Die ", "das ", "den ", "dem ", "des ", "", "der der ")
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'vocab_hund_240305'), (2, 'vocab_straße_240305'), (3, 'vocab_laufen_240305'), (4, 'vocab_kaisers_neue_kleider_240305'), (5, 'vocab_der_weg_240305')) t(word_id, vocab_id)""")
+@query(rf"""
+WITH w AS (SELECT doc_id, {_sql_list(_ARTICLES)}[(doc_id % {len(_ARTICLES)} + 1)::INT] || left(text, 24) AS word FROM documents)
+SELECT doc_id, 'vocab_' || regexp_replace(regexp_replace(regexp_replace(lower(word), '^(der|die|das|den|dem|des) ', ''), '[^\p{{L}}\p{{N}}]', '_', 'g'), '^_+|_+$', '', 'g') || '_240305' AS vocab_id FROM w""")
 def vocab_id(spark, sf_dir):
-    rows = spark.createDataFrame(_WORDS, "word_id int, word string")
-    return rows.select("word_id", T.vocab_id(F.col("word"), F.to_date(F.lit("2024-03-05"))).alias("vocab_id"))
+    """The beginning of each document after an article or none."""
+    word = F.concat(F.element_at(F.array(*map(F.lit, _ARTICLES)), (F.col("doc_id") % len(_ARTICLES) + 1).cast("int")), F.left("text", F.lit(24)))
+    return read(spark, sf_dir, "documents").select("doc_id", T.vocab_id(word, F.to_date(F.lit("2024-03-05"))).alias("vocab_id"))
 
 
 @query("""
@@ -810,7 +834,7 @@ def search_sparse_stored(spark, sf_dir):
     """The sparse search over points that hold their sparse vectors, as collections do."""
     p = points(spark, sf_dir)
     vectors = search.sparse_vectors(p.where("text IS NOT NULL")).select("id", F.struct("indices", "values").alias("sparse"))
-    return search.sparse(p.join(vectors, "id", "left"), _TEXT).select("id", "score")
+    return search.sparse(p.join(vectors, "id", "left"), SEARCH_TEXT).select("id", "score")
 
 
 @query("""

@@ -205,8 +205,8 @@ class Collections:
     def ingest(self, name: str, scan: DataFrame, state: DataFrame, embed, dimensions: int, image_size: int | None = None, **options) -> tuple[list, DataFrame]:
         """Run all jobs of a scan against the collection: stale points go, new ones come.
 
-        Returns the jobs that ran as rows of (filepath, action, status, error) counts by status, and
-        the next state, which is written below the collection and read back.
+        Returns how many jobs ran by action and status, as rows (action, status, one of their errors,
+        n), and the next state, which is written below the collection and read back.
         """
         self.create(name, dimensions, image_size=image_size)
         with ExitStack() as stack:
@@ -219,7 +219,7 @@ class Collections:
                 self.delete(name, gone.join(new, "id", "left_anti"))
             if new.limit(1).count():
                 self.upsert(name, new)
-            counts = [tuple(r) for r in jobs.groupBy("action", "status", "error").count().orderBy("action", "status", "error").collect()]
+            counts = [tuple(r) for r in jobs.groupBy("action", "status").agg(F.min("error").alias("error"), F.count(F.lit(1)).alias("n")).orderBy("action", "status").collect()]
         return counts, self.spark.read.schema(ingest.STATE).parquet("/".join((self.root, "_state", name, folder)))
 
     def search(self, name: str, query: list[float], default: str | None = None, **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +59,48 @@ def read_images(contents: DataFrame, sandbox: str, column: str = "content") -> D
     raw = F.try_to_binary(c, F.lit("base64"))
     return contents.select(
         "*",
-        F.when(is_url, F.try_to_binary(F.substring_index(c, ",", -1), F.lit("base64"))).when(~inside & (F.length(raw) > 10), raw).alias("bytes"),
+        F.when(is_url, F.try_to_binary(F.regexp_extract(c, r"(?s)^[^,]*,(.*)$", 1), F.lit("base64"))).when(~inside & (F.length(raw) > 10), raw).alias("bytes"),
         F.when(is_url, F.regexp_extract(c, r"^data:([^;,]*)", 1)).when(~inside & (F.length(raw) > 10), "image/png").alias("mime"),
         F.when(~is_url & inside, c).alias("file"),
     ).withColumn("error", F.when(F.col("bytes").isNull() & F.col("file").isNull(), "not an image or outside the allowed folder"))
 
 
+def image_bytes(contents: DataFrame, sandbox: str, column: str = "content") -> DataFrame:
+    """``read_images`` with the bytes, types and, where it is missing, the error of files as well.
+
+    The folder's files are matched by their paths below it; only those asked for leave the scan's tasks.
+    """
+    root = f"{sandbox.rstrip('/')}/"
+    told = read_images(contents, sandbox, column).withColumn("_below", F.substring(F.col("file"), F.lit(len(root) + 1), F.length("file")))
+    plain = re.sub(r"^[a-z0-9+.-]+:/+", "/", root)
+    asked = told.where("_below IS NOT NULL").select("_below").distinct()
+    files = _files(contents.sparkSession, sandbox).select(F.substring_index("path", plain, -1).alias("_below"), F.col("content").alias("_content")).join(asked, "_below", "left_semi")
+    return told.join(files, "_below", "left").select(
+        *contents.columns, F.coalesce("bytes", "_content").alias("bytes"),
+        F.coalesce("mime", F.when(F.col("_content").isNotNull(), F.when(T.ending(F.col("file")).isin(".jpg", ".jpeg"), "image/jpeg").otherwise(F.concat(F.lit("image/"), F.substring(T.ending(F.col("file")), 2, 9))))).alias("mime"),
+        F.coalesce("error", F.when(F.col("file").isNotNull() & F.col("_content").isNull(), "no such file")).alias("error"),
+    )
+
+
+def write_sessions(turns: DataFrame, path: str) -> None:
+    """Store the histories (``session_id, turn, role, content``) of many sessions at once, each in a folder of its own.
+
+    The sessions of ``turns`` replace what is stored of them, all others stay as they are; an id that is no
+    session id raises before anything is written.
+    """
+    named = turns.withColumn("session_id", F.col("session_id").cast("string"))
+    odd = named.where(~F.coalesce(F.col("session_id").rlike(r"^[a-zA-Z0-9_-]+$"), F.lit(False))).select("session_id").first()
+    if odd is not None:
+        raise ValueError(f"not a session id: {odd['session_id']!r}")
+    dealt = named.select("session_id", "turn", "role", "content").repartition("session_id").sortWithinPartitions("session_id", "turn")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").json(path)
+
+
+def read_stored_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """``session_id, turn, role, content`` of what ``write_sessions`` has stored."""
+    return spark.read.schema("turn long, role string, content string, session_id string").json(path).select("session_id", "turn", "role", "content")
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """``session_id, turn, role, content, updated_at`` of histories kept as one JSON array a file."""
     entry = "array<struct<role:string,content:string>>"
@@ -75,8 +113,6 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def write_session(spark: SparkSession, path: str, session_id: str, turns: DataFrame) -> None:
     """Store one session's history (``turn, role, content``) as a JSON array; it replaces the old."""
-    import re
-
     if not re.fullmatch(r"[a-zA-Z0-9_-]+", session_id):
         raise ValueError(f"not a session id: {session_id!r}")
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
