@@ -39,7 +39,7 @@ from .shingles import row_chunks, text_buffers
 #: Bytes of texts encoded at once; code points up to which a text is split in one go; matches merged at once.
 BYTES, AT_ONCE, MATCHES = 1 << 22, 1 << 20, 1 << 17
 #: Matches that a task remembers (twice as many for a while), and the longest of them in code points.
-REMEMBERED, SHORT = 150_000, 48
+REMEMBERED, SHORT = 200_000, 48
 #: A code point that is no letter, digit or white space in any version of Unicode.
 SYMBOL = ""
 
@@ -132,6 +132,7 @@ class Codec:
         self.ranks = read_ranks(ranks_path)
         self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.of_one = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
         self.of_two = np.array([self.ranks.get(bytes(pair), -1) for pair in np.ndindex(256, 256)], np.int32)
         self.split, self.newer = regex.compile(pattern), frozenset(newer)
         self.symbols = dict.fromkeys(map(ord, newer), SYMBOL)
@@ -153,8 +154,7 @@ class Codec:
         initial = np.append(self.of_two[codes[:-1] << 8 | codes[1:]], np.int32(-1))
         initial[ends - 1] = -1
         queue.load(initial)
-        rank_at = array("i", initial.tobytes())
-        following, before = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n, dtype=np.int32).tobytes())
+        rank_at, token, following, before = (array("i", x.astype(np.int32).tobytes()) for x in (initial, self.of_one[codes], np.arange(1, n + 1), np.arange(-1, n)))
         begins = bytearray(n + 1)
         np.frombuffer(begins, np.uint8)[np.append(0, ends)] = 1
         while found := queue.first():
@@ -166,6 +166,8 @@ class Codec:
                 gone = following[i]
                 following[i] = after = following[gone]
                 before[after] = i
+                token[i] = rank
+                token[gone] = -1
                 rank_at[gone] = -1
                 lowest = rank
                 for part in (i,) if begins[i] else (i, before[i]):
@@ -184,14 +186,10 @@ class Codec:
                     break
             if not bucket:
                 queue.emptied(rank)
-        out, i = [], 0
-        for end in ends.tolist():
-            ids = []
-            while i < end:
-                ids.append(ranks[data[i : following[i]]])
-                i = following[i]
-            out.append(tuple(ids))
-        return out
+        tokens = np.frombuffer(token, np.int32)
+        upto = np.append(0, np.cumsum(tokens >= 0))[np.append(0, ends)].tolist()
+        ids = tokens[tokens >= 0].tolist()
+        return [tuple(ids[i:j]) for i, j in zip(upto, upto[1:], strict=False)]
 
     def learn(self, pieces: list[str]) -> None:
         """Have the ids of all these matches in ``known``."""
