@@ -64,6 +64,8 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: float
+    #: Vectors of the elements between those that the path names, summed; None where it names all.
+    middle: np.ndarray | None = None
 
 
 def _element(name: str, attributes: str) -> str:
@@ -71,10 +73,15 @@ def _element(name: str, attributes: str) -> str:
     return f"{name} {marks}".strip()
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page, in order; head, scripts and the like have none."""
+def blocks_of(page: str | None, reader: Reader | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order; head, scripts and the like have none.
+
+    A path names ``DEPTH`` outermost and innermost elements; those between are summed up as they open and
+    close, so that a deep page takes no more than its tags.
+    """
     out: list[Block] = []
     stack: list[str] = []
+    sums: list[np.ndarray] = []  # of the vectors of elements from the outermost on
     counts: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
     linked = 0
@@ -84,13 +91,24 @@ def blocks_of(page: str | None) -> list[Block]:
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text and not counts["head"]:
             near = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
-            out.append(Block(tuple(e for e in near if e.split(" ", 1)[0] not in INLINE), text, min(1.0, linked / len(text))))
+            out.append(Block(tuple(e for e in near if e.split(" ", 1)[0] not in INLINE), text, min(1.0, linked / len(text)), middle()))
         parts.clear()
         linked = 0
 
+    def middle() -> np.ndarray | None:
+        nonlocal reader
+        if len(stack) <= 2 * DEPTH:
+            return None
+        reader = reader or Reader()
+        for e in stack[len(sums) : len(stack) - DEPTH]:
+            own = np.zeros(PATHS, np.float32) if e.split(" ", 1)[0] in INLINE else reader.element(e, False)
+            sums.append(sums[-1] + own if sums else own)
+        return sums[len(stack) - DEPTH - 1] - sums[DEPTH - 1]
+
     def cut(i: int) -> None:
         counts.subtract(e.split(" ", 1)[0] for e in stack[i:])
         del stack[i:]
+        del sums[i:]
 
     def end_head() -> None:
         if counts["head"]:
@@ -105,7 +123,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if not text.isspace():
                 end_head()
             parts.append(text)
-            if any(e == "a" or e.startswith("a ") for e in stack[-4:]):
+            if counts["a"] > 0:
                 linked += len(text)
         if not m:
             break
@@ -201,6 +219,8 @@ class Reader:
         for i, b in enumerate(blocks):
             for n, e in enumerate(b.path):
                 x[i, :PATHS] += self.element(e, n == len(b.path) - 1)
+            if b.middle is not None:
+                x[i, :PATHS] += b.middle
             words = b.text.split()
             for w, n in Counter(words).items():
                 if w not in self.words:
@@ -420,7 +440,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
         labeller, reader = Labeller(), Reader()
         labeller.w = {k: v.astype(np.float32) for k, v in weights.value.items()}
         for batch in batches:
-            pages = [blocks_of(p) for p in batch.column(2).to_pylist()]
+            pages = [blocks_of(p, reader) for p in batch.column(2).to_pylist()]
             on = labeller.label(pages, reader)
             texts = ["\n".join(b.text for b, k in zip(p, keep, strict=True) if k) if p else "" for p, keep in zip(pages, on, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

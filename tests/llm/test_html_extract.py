@@ -202,3 +202,25 @@ def test_blocks_hold_the_characters_a_parser_reads():
         parser = Body()
         parser.feed(page)
         assert "".join("".join(b.text.split()) for b in H.blocks_of(page)) == "".join("".join(parser.out).split())
+
+
+def test_deep_pages_are_read_as_a_whole():
+    """Elements in the middle of a deep stack count, and so do links outside many inline elements."""
+    def page(kind):
+        return "<body>" + "<div>" * 40 + f"<div class='{kind}'>" + "<div>" * 59 + "<p>some words here</p></div></div><p>more</p>"
+
+    reader = H.Reader()
+    plain, marked = (H.blocks_of(page(kind), reader) for kind in ("", "sidebar"))
+    assert len(plain[0].path) == 2 * H.DEPTH and plain[0].path == marked[0].path
+    assert not np.allclose(reader(plain), reader(marked))
+    whole = sum(reader.element(e, False) for e in ["body", *["div"] * 40, "div sidebar", *["div"] * 59]) + reader.element("p", True)
+    assert np.allclose(reader(marked)[0, : H.PATHS], whole)
+    [block] = H.blocks_of("<p><a href='x'><b><i><u><s><em>all of it is a link</em></s></u></i></b></a></p>")
+    assert block.linked == 1.0
+    [block] = H.blocks_of("<p><a href='x'>half</a>half</p>")
+    assert block.linked == 0.5
+
+
+def test_a_very_deep_page_takes_no_more_than_its_tags():
+    blocks = H.blocks_of("".join(f"<div id=n{i}>t{i}" for i in range(20_000)))
+    assert len(blocks) == 20_000
