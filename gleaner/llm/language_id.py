@@ -180,7 +180,7 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model | None:
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Train on about ``sample`` labelled rows that ``learn`` admits, drawn per language by id.
+    """Train on about ``sample`` labelled rows that ``learn`` admits, drawn per language by id and text.
 
     Texts beyond ``LONGEST`` code points are no training rows, unless a language has no others.
     """
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc
     share = {r["l"]: min(1.0, (most if r["n"] else 1) / (r["n"] or r["all"])) for r in counts}
     bounds = F.create_map(*(F.lit(x) for lang in sorted(share) for x in (lang, int(share[lang] * (1 << 30)) + 1)))
     few = rows.where(~F.col("long") | F.col("l").isin([r["l"] for r in counts if not r["n"]]))
-    few = few.where(F.pmod(F.xxhash64("i", F.lit("lang")), F.lit(1 << 30)) < F.element_at(bounds, F.col("l")))
+    few = few.where(F.pmod(F.xxhash64("i", "t", F.lit("lang")), F.lit(1 << 30)) < F.element_at(bounds, F.col("l")))
     picked = few.select("i", "t", "l").limit(2 * most * len(counts)).collect()
     return train([(r["t"], r["l"]) for r in sorted(picked, key=lambda r: (r["i"] or "", r["t"]))])
 
