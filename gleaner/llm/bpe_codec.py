@@ -23,6 +23,7 @@ result; other columns are ignored. Null ids decode to no bytes; an id that the v
 from __future__ import annotations
 
 import base64
+import sys
 import unicodedata
 from array import array
 from heapq import heappop, heappush
@@ -30,6 +31,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ from .common import trim
 from .shingles import row_chunks, text_buffers
 
 #: Bytes of texts encoded at once; code points up to which a text is split in one go; matches merged at once.
-BYTES, AT_ONCE, MATCHES = 1 << 22, 1 << 20, 1 << 17
+BYTES, AT_ONCE, MATCHES = 1 << 23, 1 << 20, 1 << 18
+#: Rows decoded at once.
+ROWS = 1000
 #: Matches that a task remembers (twice as many for a while), and the longest of them in code points.
 REMEMBERED, SHORT = 200_000, 48
 #: A code point that is no letter, digit or white space in any version of Unicode.
@@ -136,12 +140,12 @@ class Codec:
         self.of_two = np.array([self.ranks.get(bytes(pair), -1) for pair in np.ndindex(256, 256)], np.int32)
         self.split, self.newer = regex.compile(pattern), frozenset(newer)
         self.symbols = dict.fromkeys(map(ord, newer), SYMBOL)
-        #: Ids of matches: those of late, and those that were remembered when these began.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        #: Ids of matches, as the bytes of 32-bit numbers: those of late, and those that were remembered when these began.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of matches, merged side by side in one list of parts, which no merge joins across matches.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of matches, as bytes, merged side by side in one list of parts, which no merge joins across matches.
 
         In each match always the pair of lowest rank, and of such the leftmost, is merged next.
         """
@@ -155,6 +159,7 @@ class Codec:
         initial[ends - 1] = -1
         queue.load(initial)
         rank_at, token, following, before = (array("i", x.astype(np.int32).tobytes()) for x in (initial, self.of_one[codes], np.arange(1, n + 1), np.arange(-1, n)))
+        buckets, push, of_pair = queue.buckets, queue.push, ranks.get
         begins = bytearray(n + 1)
         np.frombuffer(begins, np.uint8)[np.append(0, ends)] = 1
         while found := queue.first():
@@ -170,26 +175,28 @@ class Codec:
                 token[gone] = -1
                 rank_at[gone] = -1
                 lowest = rank
+                end = following[after] if not begins[after] else n + longest
                 for part in (i,) if begins[i] else (i, before[i]):
-                    second = following[part]
-                    new = -1
-                    if not begins[second]:
-                        end = following[second]
-                        if end - part <= longest:
-                            new = ranks.get(data[part:end], -1)
+                    if part != i:
+                        end = after
+                    new = of_pair(data[part:end], -1) if end - part <= longest else -1
                     rank_at[part] = new
                     if new >= 0:
-                        queue.push(new, part)
+                        waiting = buckets.get(new)
+                        if waiting is None:
+                            push(new, part)
+                        else:
+                            heappush(waiting, part)
                         if new < lowest:
                             lowest = new
                 if lowest < rank:
                     break
             if not bucket:
                 queue.emptied(rank)
-        tokens = np.frombuffer(token, np.int32)
-        upto = np.append(0, np.cumsum(tokens >= 0))[np.append(0, ends)].tolist()
-        ids = tokens[tokens >= 0].tolist()
-        return [tuple(ids[i:j]) for i, j in zip(upto, upto[1:], strict=False)]
+        kept = (tokens := np.frombuffer(token, np.int32)) >= 0
+        upto = (np.append(0, np.cumsum(kept))[np.append(0, ends)] * 4).tolist()
+        ids = tokens[kept].tobytes()
+        return [ids[i:j] for i, j in zip(upto, upto[1:], strict=False)]
 
     def learn(self, pieces: list[str]) -> None:
         """Have the ids of all these matches in ``known``."""
@@ -204,7 +211,7 @@ class Codec:
                 if whole is None:
                     new.append(piece)
                     continue
-                ids = (whole,)
+                ids = whole.to_bytes(4, sys.byteorder)
             self.known[piece] = ids
         self.known.update(zip(new, self.merge([piece.encode() for piece in new]), strict=True))
 
@@ -221,15 +228,15 @@ class Codec:
             while some := [m.group() for m in islice(found, MATCHES)]:
                 yield some
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text."""
-        out, pieces, counts = [array("i") for _ in texts], [], []
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as the bytes of 32-bit numbers."""
+        out, pieces, counts = [[] for _ in texts], [], []
 
         def flush() -> None:
             self.learn(pieces)
             ids, at = self.known.__getitem__, 0
             for row, count in counts:
-                out[row].extend(chain.from_iterable(map(ids, pieces[at : at + count])))
+                out[row].append(b"".join(map(ids, pieces[at : at + count])))
                 at += count
             pieces.clear(), counts.clear()
 
@@ -240,7 +247,7 @@ class Codec:
                 if len(pieces) >= MATCHES:
                     flush()
         flush()
-        return out
+        return [b"".join(parts) for parts in out]
 
 
 def encode_texts(docs: DataFrame, tokenizer: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +260,7 @@ def encode_texts(docs: DataFrame, tokenizer: tuple[str, str], id_col: str = "doc
             _, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets, BYTES):
                 ids = codec.encode([text or "" for text in batch.column(1).slice(i, j - i).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["doc_id", "ids"])
         trim()
@@ -266,12 +273,26 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema.fields)}, decoded binary"
 
     def decode(batches):
-        tokens = sorted(read_ranks(ranks_path).items(), key=lambda item: item[1])
-        table = {rank: token for token, rank in tokens}
+        ranks = read_ranks(ranks_path)
+        data = np.frombuffer(b"".join(ranks), np.uint8)
+        sizes, begins = np.zeros((2, max(ranks.values()) + 1), np.int64)
+        order = list(ranks.values())
+        sizes[order] = [len(token) for token in ranks]
+        begins[order] = np.append(0, np.cumsum(sizes[order])[:-1])
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            decoded = [b"".join(map(table.__getitem__, one.values.to_numpy(zero_copy_only=False).tolist())) if one.is_valid else b"" for one in ids]
-            yield batch.append_column("decoded", pa.array(decoded, pa.binary()))
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+                raise KeyError(f"ids that the vocabulary of {ranks_path} lacks")
+            upto = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))
+            for i in range(0, len(lists), ROWS):
+                some = ids[upto[i] : upto[min(i + ROWS, len(lists))]]
+                size = sizes[some]
+                ends = np.cumsum(size)
+                decoded = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[some] - ends + size, size)]
+                marks = np.append(0, ends)[upto[i : i + ROWS + 1] - upto[i]]
+                column = pa.Array.from_buffers(pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks.astype(np.int64)), pa.py_buffer(decoded)])
+                yield batch.slice(i, ROWS).append_column("decoded", column.cast(pa.binary()))
         trim()
 
     return encoded.mapInArrow(decode, schema)
