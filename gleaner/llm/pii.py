@@ -3,7 +3,8 @@
 Every detector proposes the leftmost non-overlapping matches of its pattern, validators confirm
 them (a match that fails is dropped, without another try inside it), and its score is a prior plus
 what a passed checksum and context words nearby add. Nearby are the ``NEAR`` code points before and
-after a match, as far as the matches next to it. The base kinds (email, ip, card, phone) always
+after a match, as far as the matches next to it; context words count where they begin a word ("tel" is
+not in "hotel"). The base kinds (email, ip, card, phone) always
 stay; the further kinds stay when the score reaches ``threshold``: an iban by mod-97 alone, national
 numbers, dates of birth and secrets (long runs of letters and digits) only beside their words.
 
@@ -53,7 +54,7 @@ MORE = (
     Detector("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "mod97", 0.3, ("iban", "account", "konto"), "[A-Za-z0-9]", True),
     Detector("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "", 0.3, ("ssn", "social security"), "[0-9-]"),
     Detector("birth", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "date", 0.3, ("born", "birth", "geboren", "nacid", "naissance"), "[0-9-]"),
-    Detector("secret", r"[A-Za-z0-9+/_-]{20,}+", r"[A-Za-z0-9+/_-]{20}", "mixed", 0.3, ("token", "secret", "passw", "api key", "api_key", "apikey", "bearer", "credential")),
+    Detector("secret", r"[A-Za-z0-9+/_-]{20,}+", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", "mixed", 0.3, ("token", "secret", "passw", "api key", "api_key", "apikey", "bearer", "credential")),
 )
 #: Code points before and after a match in which context words count, what they and a checksum add;
 #: matches whose lengths are summed in one go.
@@ -144,11 +145,14 @@ def _confirmed(d: Detector, x: Column) -> Column:
     return passed & x["alone"] & ~x["before"].rlike(rf"{d.border}\z") & ~x["after"].rlike(rf"\A{d.border}")
 
 
+def _begun(words: tuple[str, ...]) -> str:
+    """A pattern of lower-cased words that begin one: neither in the middle of a word nor right after a digit."""
+    return f"(^|[^a-z0-9])({'|'.join(words)})"
+
+
 def _score(d: Detector, x: Column) -> Column:
     around = lower_ascii(F.concat(x["before"], F.lit("\n"), x["after"]))
-    near = F.lit(False)
-    for word in d.context:
-        near = near | around.contains(word)
+    near = around.rlike(_begun(d.context)) if d.context else F.lit(False)
     return F.least(F.lit(1.0), F.lit(d.prior + (CHECKED if d.sums else 0.0)) + F.when(near, F.lit(CONTEXT)).otherwise(F.lit(0.0)))
 
 
@@ -205,7 +209,7 @@ _MOD97 = f"""length({_IBAN}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, l
 
 
 def _sql_near(kind: str) -> str:
-    words = "|".join(next(d for d in MORE if d.kind == kind).context)
+    words = _begun(next(d for d in MORE if d.kind == kind).context)
     return f"regexp_matches(translate(y.b || chr(10) || y.a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}')"
 
 

@@ -98,3 +98,11 @@ def test_random_texts_against_sql(spark):
     got = spans(spark, texts)
     assert got == [s for _, s in rows]
     assert all(sum(kind in s for s in got) > 20 for kind in ("iban:", "ssn:", "birth:", "secret:"))
+
+
+def test_context_words_begin_a_word(spark):
+    """The end of another word is no context; the beginning of one is."""
+    texts = ["Osborne 1990-04-05", "born 1990-04-05", "(Born: 1990-04-05)", "birthday 1990-04-05", "stillbirth 1990-04-05", "my_birth 1990-04-05", "7born 1990-04-05"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(pii.find_pii(df)).collect()}
+    assert [bool(got[i]) for i in range(len(texts))] == [False, True, True, True, False, True, False]
