@@ -37,7 +37,8 @@ def _step(function):
 
     @functools.wraps(function)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if not any(path in file for path in _left for file in docs.inputFiles()):
+        files = docs.inputFiles() if _left else []
+        if not any(path in file for path in _left for file in files):
             release(_left)
         before = set(staged_paths())
         out = function(spark, docs, sf_dir)
