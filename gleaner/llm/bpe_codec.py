@@ -40,6 +40,8 @@ from .shingles import row_chunks, text_buffers
 
 #: Bytes of texts encoded at once; code points up to which a text is split in one go; matches merged at once.
 BYTES, AT_ONCE, MATCHES = 1 << 23, 1 << 20, 1 << 18
+#: Positions of a bucket from which on they are merged at once.
+MANY = 40
 #: Rows decoded at once.
 ROWS = 1000
 #: Matches that a task remembers (twice as many for a while), and the longest of them in code points.
@@ -117,6 +119,15 @@ class RankQueue:
             self.buckets[rank] = sorted(positions.tolist() + self.buckets.get(rank, []))
         return rank, self.buckets[rank]
 
+    def extend(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Queue many positions, each with its rank."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order].tolist()
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        for rank, i, j in zip(ranks[cuts].tolist(), cuts, [*cuts, len(positions)][1:], strict=True):
+            for position in positions[i:j]:
+                self.push(rank, position)
+
     def emptied(self, rank: int) -> None:
         """The bucket of this rank is used up."""
         del self.buckets[rank]
@@ -138,16 +149,28 @@ class Codec:
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.of_one = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
         self.of_two = np.array([self.ranks.get(bytes(pair), -1) for pair in np.ndindex(256, 256)], np.int32)
+        pairs = {(self.ranks[a], self.ranks[b]): rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := token[:i]) in self.ranks and (b := token[i:]) in self.ranks}
+        codes = np.array([a << 32 | b for a, b in pairs] or [-1], np.int64)
+        order = np.argsort(codes)
+        #: Pairs of tokens that form a token, in order, and its rank.
+        self.pairs, self.pair_ranks = codes[order], np.array(list(pairs.values()) or [-1], np.int32)[order]
         self.split, self.newer = regex.compile(pattern), frozenset(newer)
         self.symbols = dict.fromkeys(map(ord, newer), SYMBOL)
         #: Ids of matches, as the bytes of 32-bit numbers: those of late, and those that were remembered when these began.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs of tokens form; -1 where that is no token."""
+        codes = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == codes, self.pair_ranks[at], np.int32(-1))
+
+    def merge(self, pieces: list[bytes], short: bool = False) -> list[bytes]:
         """Ids of matches, as bytes, merged side by side in one list of parts, which no merge joins across matches.
 
-        In each match always the pair of lowest rank, and of such the leftmost, is merged next.
+        In each match always the pair of lowest rank, and of such the leftmost, is merged next. Where all
+        matches are ``short``, a bucket of many positions is merged at once, one position a match.
         """
         if not pieces:
             return []
@@ -162,8 +185,31 @@ class Codec:
         buckets, push, of_pair = queue.buckets, queue.push, ranks.get
         begins = bytearray(n + 1)
         np.frombuffer(begins, np.uint8)[np.append(0, ends)] = 1
+        if short:
+            ranked, tokens, nexts, befores = (np.frombuffer(x, np.int32) for x in (rank_at, token, following, before))
+            starts, match = np.frombuffer(begins, np.uint8), np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
         while found := queue.first():
             rank, bucket = found
+            if short and len(bucket) >= MANY:
+                at = np.sort(np.array(bucket))
+                at = at[ranked[at] == rank]
+                first = np.diff(match[at], prepend=-1) > 0
+                bucket[:] = at[~first].tolist()
+                at = at[first]
+                gone = nexts[at]
+                after = nexts[gone]
+                nexts[at], befores[after], ranked[gone], tokens[at], tokens[gone] = after, at, -1, rank, -1
+                more, inner = starts[after] == 0, starts[at] == 0
+                ranked[at] = -1
+                ranked[at[more]] = self.of_pairs(tokens[at[more]], tokens[after[more]])
+                left = befores[at[inner]]
+                ranked[left] = self.of_pairs(tokens[left], tokens[at[inner]])
+                parts = np.concatenate([at, left])
+                new = ranked[parts]
+                if not bucket:
+                    queue.emptied(rank)
+                queue.extend(new[new >= 0], parts[new >= 0])
+                continue
             while bucket:
                 i = heappop(bucket)
                 if rank_at[i] != rank:
@@ -213,7 +259,9 @@ class Codec:
                     continue
                 ids = whole.to_bytes(4, sys.byteorder)
             self.known[piece] = ids
-        self.known.update(zip(new, self.merge([piece.encode() for piece in new]), strict=True))
+        for short in (True, False):
+            some = [piece for piece in new if (len(piece) <= SHORT) == short]
+            self.known.update(zip(some, self.merge([piece.encode() for piece in some], short), strict=True))
 
     def matches(self, text: str):
         """Lists of the pattern's matches, in order."""
