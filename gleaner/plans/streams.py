@@ -85,8 +85,10 @@ def event_parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = (F.pmod(F.xxhash64("session_id", "seq"), F.length("frame") + 1)).cast("int")
     halves = F.array(F.substring("frame", F.lit(1), cut), F.substring(F.col("frame"), cut + 1, F.length("frame")))
     chunks = placed.select("session_id", "n", F.posexplode(halves).alias("half", "data")).select("session_id", (F.col("n") * 2 + F.col("half")).cast("long").alias("chunk"), "data")
-    of = F.pmod(F.xxhash64("session_id", "chunk"), F.lit(3))
-    found = replay(spark, new_folder(spark, "event-parse"), [chunks.where(of == n) for n in range(3)], stateful.parse_stream, timers_wait=False)
+    top = new_folder(spark, "event-parse")
+    chunks.withColumn("of", F.pmod(F.xxhash64("session_id", "chunk"), F.lit(3))).write.partitionBy("of").parquet(f"{top}/cut")
+    cut = spark.read.schema(chunks.schema.add("of", "integer")).parquet(f"{top}/cut")
+    found = replay(spark, top, [cut.where(F.col("of") == n).drop("of") for n in range(3)], stateful.parse_stream, timers_wait=False)
     return found.select("session_id", F.col("data.tool").cast("long").alias("seq"), "event", "data.text")
 
 

@@ -146,3 +146,27 @@ def test_parse_of_a_buffer_leaves_out_what_is_no_json(spark):
     done, tail = E.parse(F.lit(buffer))
     got = spark.range(1).select(done.alias("done"), tail.alias("tail")).first()
     assert [(e["event"], e["data"]["text"]) for e in got["done"]] == [("c", "x")] and got["tail"] == "event: d\ndata: {\"te"
+
+
+class OneRecord:
+    """A session's state that counts how often it is written."""
+
+    exists, hasTimedOut, get, written = False, False, None, 0
+
+    def update(self, value):
+        self.get, self.exists, self.written = value, True, self.written + 1
+
+    def setTimeoutDuration(self, _):
+        pass
+
+
+def test_parser_writes_its_state_once_a_batch(spark):
+    import pandas as pd
+
+    state, follow = OneRecord(), stateful._parser(60)
+    frames = [f"event: token\ndata: {i}\n\n".encode() for i in range(500)]
+    early = pd.DataFrame({"chunk": range(1, 500), "data": frames[1:]}).sample(frac=1, random_state=1)
+    assert list(follow(("a",), iter([early[:300], early[300:]]), state)) == [] and state.written == 1
+    (found,) = follow(("a",), iter([pd.DataFrame({"chunk": [7, 0, 0], "data": [b"again", frames[0], b"again"]})]), state)
+    assert found["data"].tolist() == [str(i) for i in range(500)] and found["number"].tolist() == list(range(500))
+    assert state.written == 2 and state.get == (500, 500, b"", [])
