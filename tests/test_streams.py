@@ -170,3 +170,22 @@ def test_parser_writes_its_state_once_a_batch(spark):
     (found,) = follow(("a",), iter([pd.DataFrame({"chunk": [7, 0, 0], "data": [b"again", frames[0], b"again"]})]), state)
     assert found["data"].tolist() == [str(i) for i in range(500)] and found["number"].tolist() == list(range(500))
     assert state.written == 2 and state.get == (500, 500, b"", [])
+
+
+def test_runs_write_their_state_once_a_batch(spark):
+    import pandas as pd
+
+    class Timed(OneRecord):
+        until = None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, ms):
+            self.until = ms
+
+    state, follow = Timed(), stateful._runs(60)
+    rows = pd.DataFrame({"seq": range(200), "run_id": [n // 10 for n in range(200)], "event": "token", "text": "x", "ms": range(1000, 1200)})
+    (found,) = follow(("a",), iter([rows[100:], rows[:100]]), state)
+    assert found[["run_id", "seq"]].values.tolist() == [[n, 10 * n] for n in range(19)] and set(found["status"]) == {"replaced"}
+    assert state.written == 1 and state.get[0] == 19 and len(state.get[4]) == 10 and state.until == 1199 + 60_000
