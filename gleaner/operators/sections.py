@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: Required sections where no template says otherwise, and the shortest content.
 REQUIRED = {"summary": "Summary", "key changes": "Key Changes", "discussion & pitfalls": "Discussion & Pitfalls", "verification": "Verification"}
 MIN_LENGTH, IGNORED = 10, ("pull request", "pr")
@@ -35,25 +37,32 @@ def required_of(template: str | None) -> dict[str, str]:
     return found or REQUIRED
 
 
-def _cleaned(content: Column) -> tuple[Column, Column]:
-    """Whether the placeholder stands in it, and what is left of it to count."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(content, COMMENT, ""), r"^\s+|\s+$", ""))
-    rest = text
+def _rest(text: Column) -> Column:
+    """What is left of a section's text to count."""
     for pattern in (PLACEHOLDER, HINT, EMPTY_ITEM):
-        rest = F.regexp_replace(rest, pattern, "")
-    return text.rlike(PLACEHOLDER), F.regexp_replace(rest, r"^\s+|\s+$", "")
+        text = F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _section_errors(content: Column, name: str, least: int) -> Column:
+    """array<string> of what is wrong with a section that is there."""
+
+    def told(text: Column, rest: Column) -> Column:
+        return F.array(
+            F.when(text.rlike(PLACEHOLDER), F.concat(F.lit("placeholder: "), F.lit(name))),
+            F.when(F.length(rest) < least, F.concat(F.lit("too short: "), F.lit(name), F.lit(" "), F.length(rest).cast("string"))),
+        )
+
+    text = F.trim(F.regexp_replace(F.regexp_replace(content, COMMENT, ""), r"^\s+|\s+$", ""))
+    return once(text, lambda t: once(_rest(t), lambda r: told(t, r)))
 
 
 def errors(body: Column, required: dict[str, str] | None = None, least: int = MIN_LENGTH) -> Column:
-    """array<string> of what is wrong with a text, empty if nothing is."""
-    found = parse(body)
-    out = []
-    for key, name in (required or REQUIRED).items():
-        match = F.filter(found, lambda s: s["header"] == key)
-        content = F.try_element_at(match, F.lit(-1))["content"]
-        has, rest = _cleaned(content)
-        out.append(F.when(F.size(match) == 0, F.concat(F.lit("missing: "), F.lit(name))))
-        out.append(F.when((F.size(match) > 0) & has, F.concat(F.lit("placeholder: "), F.lit(name))))
-        out.append(F.when((F.size(match) > 0) & (F.length(rest) < least), F.concat(F.lit("too short: "), F.lit(name), F.lit(" "), F.length(rest).cast("string"))))
-    blank = body.isNull() | (F.trim(F.regexp_replace(body, r"\s", "")) == "")
-    return F.when(blank, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*out)))
+    """array<string> of what is wrong with a text, empty if nothing is. The text is parsed once, a section cleaned once."""
+
+    def of(found: Column, key: str, name: str) -> Column:
+        last = F.try_element_at(F.filter(found, lambda s: s["header"] == key), F.lit(-1))
+        return once(last, lambda s: F.when(s.isNull(), F.array(F.concat(F.lit("missing: "), F.lit(name)))).otherwise(_section_errors(s["content"], name, least)))
+
+    told = once(parse(body), lambda found: F.array_compact(F.flatten(F.array(*(of(found, key, name) for key, name in (required or REQUIRED).items())))))
+    return F.when(body.isNull() | ~body.rlike(r"\S"), F.array(F.lit("empty"))).otherwise(told)
