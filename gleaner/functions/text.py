@@ -199,18 +199,19 @@ def _part(pages: Column, page: int, start: Column, length: Column) -> Column:
 
 def _cut_pieces(text: Column, size: int, overlap: int) -> Column:
     """The pieces of a text longer than ``size``, by a fold over at most as many steps."""
-    page = max(4096, 4 * size)
+    page = max(256, 2 * size)
 
     def pieces(bound):
         pages, n = bound["pages"], bound["n"]
 
         def step(at, _):
             end = at + size
-            window = F.reverse(_part(pages, page, end - overlap, F.lit(overlap)))
-            cut = F.lit(None).cast("int")
-            for sep in reversed(SEPARATORS):
-                place = F.instr(window, F.lit(sep[::-1]))
-                cut = F.when(place > 0, end - place + 1).otherwise(cut)
+
+            def after_separator(window):
+                places = [F.instr(window, F.lit(sep[::-1])) for sep in SEPARATORS]
+                return F.coalesce(*(F.when(place > 0, end - place + 1) for place in places))
+
+            cut = once(F.reverse(_part(pages, page, end - overlap, F.lit(overlap))), after_separator)
 
             def put(c):
                 to = F.coalesce(c, end)
