@@ -120,11 +120,14 @@ def tokens(text: Column) -> Column:
 
 
 def hash_bucket(word: Column, buckets: int = SPARSE_BUCKETS) -> Column:
-    """SHA-256 of a word, as one number, modulo ``buckets``: Horner over its eight 32-bit words."""
+    """SHA-256 of a word, as one number, modulo ``buckets``: Horner over its hexadecimal digits, 15 at a time."""
     digest = F.sha2(word.cast("binary"), 256)
-    acc, step = F.lit(0).cast("long"), (1 << 32) % buckets
-    for i in range(8):
-        acc = (acc * step + F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")) % buckets
+    acc = F.lit(0).cast("long")
+    if (1 << 60) % buckets == 0:
+        return (F.conv(F.substring(digest, 50, 15), 16, 10).cast("long") % buckets).cast("int")
+    for begin in range(0, 64, 15):
+        n = min(15, 64 - begin)
+        acc = (acc * (16**n % buckets) + F.conv(F.substring(digest, begin + 1, n), 16, 10).cast("long")) % buckets
     return acc.cast("int")
 
 

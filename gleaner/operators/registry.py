@@ -79,11 +79,12 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
     """Counts of hashed words, scaled to length one; a text without words is the zero vector."""
 
     def counts_of(buckets: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+        # What is gone without a bucket's number is its count: no step a word and a dimension.
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
 
     def scaled(counts: Column) -> Column:
         size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+        return T.once(size, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
     def embed(text: Column) -> Column:
         # Each step is bound once, as the only element of an array.
