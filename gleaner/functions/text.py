@@ -1,12 +1,17 @@
 """Text expressions. All are built-in functions, so they stay in the JVM; lengths and positions
-count code points. The one exception is ``html_text_parsed``, for markup beyond regular
-expressions."""
+count code points. The exceptions are ``html_text_parsed``, for markup beyond regular expressions,
+and ``bucket_counts``, as no built-in counts the elements of an array."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +136,26 @@ def hash_bucket(word: Column, buckets: int = SPARSE_BUCKETS) -> Column:
     return acc.cast("int")
 
 
+@lru_cache(1 << 16)
+def _bucket(word: str, buckets: int) -> int:
+    return int.from_bytes(hashlib.sha256(word.encode()).digest(), "big") % buckets
+
+
+def bucket_counts(words: Column, buckets: int = SPARSE_BUCKETS) -> Column:
+    """array<struct<bucket, n>> of a text's words by ``hash_bucket``, sorted (an Arrow UDF): a row's words are counted where they are."""
+
+    def count(lists: pa.Array) -> pa.Array:
+        coded = pc.dictionary_encode(lists.flatten().drop_null())
+        bucket = np.array([_bucket(w, buckets) for w in coded.dictionary.to_pylist()], np.int64)
+        row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        pairs, n = np.unique(row * buckets + bucket[coded.indices.to_numpy()], return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(len(lists) + 1, dtype=np.int64) * buckets).astype(np.int32)
+        told = pa.StructArray.from_arrays([pa.array((pairs % buckets).astype(np.int32)), pa.array(n.astype(np.int64))], ["bucket", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends), told)
+
+    return F.arrow_udf(count, "array<struct<bucket:int,n:long>>")(words)
+
+
 def uuid5(namespace: str, name: Column) -> Column:
     """Name-based UUID, version 5."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))

@@ -77,11 +77,12 @@ def dense(
 
 
 def term_counts(points: DataFrame, text_col: str = "text") -> DataFrame:
-    """Long form ``id, bucket, tf`` of the hashed bag of words."""
-    words = points.select("id", F.explode(T.tokens(F.col(text_col))).alias("word"))
-    # Words repeat far more than they differ: hash each distinct word of a text once.
-    counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("id", T.hash_bucket(F.col("word")).alias("bucket"), "n").groupBy("id", "bucket").agg(F.sum("n").cast("double").alias("tf"))
+    """Long form ``id, bucket, tf`` of the hashed bag of words.
+
+    Rows are dealt by id once, as counts of their buckets; no word moves.
+    """
+    counted = points.select("id", T.bucket_counts(T.tokens(F.col(text_col))).alias("c")).repartition("id")
+    return counted.select("id", F.inline("c")).groupBy("id", "bucket").agg(F.sum("n").cast("double").alias("tf"))
 
 
 def sparse_vectors(points: DataFrame, text_col: str = "text") -> DataFrame:
